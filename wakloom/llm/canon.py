@@ -16,9 +16,11 @@ digits, tone marks and the number of inner blanks are kept.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _TOP = 0x110000
 _SPREAD = np.uint32(0xFFFFFFFF)  # more than one code point comes out, or none
@@ -263,10 +265,29 @@ def fold() -> Fold:
     return _FOLD
 
 
+def pieces_of(col: pa.Array, n_bytes: int = 1 << 20) -> Iterator[pa.Array]:
+    """Slices of about n_bytes, so that work arrays stay in the cache; one longer text stays whole."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    if not len(col):
+        return
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(col), 0)).astype(np.int64))
+    at = 0
+    while at < len(col):
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + n_bytes, "right"))
+        to = max(at + 1, to)
+        yield col.slice(at, to - at)
+        at = to
+
+
 def canon_arrow(col: pa.Array, blanks: str = "trim") -> pa.Array:
-    cps, off, null = to_points(col)
-    out, off = fold()(cps, off, blanks)
-    return to_arrow(out, off, null)
+    """The one form of each text."""
+    done = []
+    for part in pieces_of(col):
+        cps, off, null = to_points(part)
+        out, off = fold()(cps, off, blanks)
+        done.append(to_arrow(out, off, null))
+    return pa.concat_arrays(done) if done else pa.array([], pa.string())
 
 
 def look_alike(column, blanks: str = "trim"):
