@@ -49,6 +49,12 @@ def row_hash(cps: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.where(n > 0, mix(total[off[1:]] - total[off[:-1]] + n.astype(np.uint64)), np.uint64(0))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 class Index:
     """Keys with their postings, for lookups of many keys at once."""
 
