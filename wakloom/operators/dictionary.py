@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wakloom.operators.ranking import global_rank
+
 
 def first_per_key(df: DataFrame, key: list[str], order: list) -> DataFrame:
     """The first row of each key in the given order. The order must be total for a fixed result."""
@@ -46,7 +48,7 @@ def overlay(rows: DataFrame, answers: DataFrame, key: list[str], value: str, ans
 
 def interleave(first: DataFrame, second: DataFrame, order: list, every: int = 3) -> DataFrame:
     """Rows of two ranked tables with slot: after every `every` rows of the first comes one of the second."""
-    rank = lambda df: df.withColumn("_r", F.row_number().over(Window.orderBy(*order)) - 1)
-    a = rank(first).withColumn("slot", F.col("_r") + F.floor(F.col("_r") / every))
-    b = rank(second).withColumn("slot", F.col("_r") * (every + 1) + every)
+    a, b = global_rank(first, order, "_r"), global_rank(second, order, "_r")
+    a = a.withColumn("slot", F.col("_r") + F.floor(F.col("_r") / every))
+    b = b.withColumn("slot", F.col("_r") * (every + 1) + every)
     return a.unionByName(b).drop("_r")
