@@ -152,7 +152,7 @@ def test_leaks(spark):
     text = word(120)
     items = [(1, text), (2, word(39)), (3, None), (4, ""), (5, text[:60])]
     spaced = "  ".join(text[k : k + 7].upper() for k in range(0, 120, 7))
-    docs = [(10, word(30) + spaced + word(9)), (11, word(20) + text[30:70] + word(20)), (12, word(20) + text[30:69] + "Z" + word(20)), (13, None), (14, ""), (15, text[:39]), (16, text[5:25] + "X" + text[25:64]), (17, items[1][1]), (18, "x" * 200_000 + text)]
+    docs = [(10, word(30) + spaced + word(9)), (11, word(20) + text[30:70] + word(20)), (12, word(20) + "Z" + text[30:69] + "Z" + word(20)), (13, None), (14, ""), (15, text[:39]), (16, text[5:25] + "X" + text[25:64]), (17, items[1][1]), (18, "x" * 200_000 + text)]
     i = spark.createDataFrame([(a, b, "test", 0) for a, b in items], "item_id long, text string, split string, doc_id int")
     d = spark.createDataFrame([(a, b, "s") for a, b in docs], "doc_id long, text string, item_id string")
     assert {tuple(r) for r in leaks.leaks(i, d).collect()} == {(1, 10), (5, 10), (1, 11), (1, 18), (5, 18)}
