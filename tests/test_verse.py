@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wakloom.functions import text as X
 from wakloom.functions.phonology import syllable_classes
-from wakloom.operators import dictionary, metrics, ranking, rhymes, structure
+from wakloom.operators import augment, dictionary, meter, metrics, ranking, rhymes, segment, structure
 from wakloom.operators.memo import once_per_value
 
 CLASSES = {
@@ -188,3 +188,57 @@ def test_streams(spark, tmp_path):
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "latest/v=0")).collect()} == {("a", 5), ("b", 2)}
     mk = lambda *r: spark.createDataFrame(list(r), schema)
     assert {tuple(r) for r in S.changed_rows(mk(("a", 1), ("b", None), ("", 3)), mk(("a", 1), (None, 3)), ["k", "v"]).collect()} == {("b", None), ("", 3)}
+
+
+def test_meter(spark):
+    lines = {
+        "eight": [("ก", 3), ("ข", 2), ("ค", 3)], "inside": [("ก", 3), ("ข", 4), ("ค", 2)], "first": [("ก", 4), ("ข", 2), ("ค", 3)], "last": [("ก", 3), ("ข", 2), ("ค", 4)], "seven": [("ก", 7)], "over": [("ก", 2), ("ข", 3), ("ค", 3)],
+        "short": [("ก", 6)], "ten": [("ก", 10)], "none": [], "null": None,
+    }
+    df = spark.createDataFrame(list(lines.items()), "k string, words array<struct<w:string,n:int>>")
+    got = {r.k: r for r in meter.analysed(df, "words").collect()}
+    assert (got["eight"].rhythm, got["eight"].segmented, got["eight"].flags) == ([3, 2, 3], "ก | ข | ค", [])
+    assert got["inside"].rhythm is None and got["inside"].flags == ["long word inside"] and got["inside"].segmented == "กขค"
+    assert got["first"].rhythm == [4, 2, 3] and got["last"].rhythm == [3, 2, 4] and not got["last"].needs_review
+    assert set(got["seven"].flags) == {"straddle", "ambiguous"} and got["over"].flags == ["straddle"] and got["over"].segmented == "กข |  | ค"
+    assert got["short"].kind == "opener" and not got["short"].needs_review and got["ten"].kind == "irregular" and got["ten"].needs_review
+    assert got["none"].n_syllables == 0 and got["null"].n_syllables == 0 and not got["null"].needs_review
+
+
+def test_import(spark):
+    rows = [("กขค", "", None, " ", "deferred"), ("กขค", "X", "", "", "exclude"), ("กข ค", "ก", "ข", " ค", "cut"), ("กขค", "ก", "ข", "", "rejected"), ("กขค", "ก", "ข", "ฆ", "rejected"), ("ง", "ง", "", "", "unknown"), (None, "x", "", "", "unknown")]
+    df = spark.createDataFrame(rows, "wak string, a string, b string, c string, want string")
+    known = spark.createDataFrame([("กขค",), ("กขค",), ("กข ค",), (None,)], "wak string")
+    out = meter.import_answers(df, known).collect()
+    assert len(out) == len(rows) and all(r.action == r.want for r in out)
+
+
+def test_segmenters(spark):
+    known = {"กา": ["กา"], "กาก": ["กา", "ก"], "ก": ["ก"], "ขา": ["ขา"]}
+    cut = segment.longest_match(known)
+    assert cut("กากขา") == ["กา", "ก", "ขา"] and cut("xกขา") == ["xก", "ขา"] and cut("ก") == ["ก"] and cut("") == []
+    assert segment.longest_match(known, frozenset("ก"))("xก") == ["x", "ก"]
+    make = segment.fewest_syllables({"ab": ["a", "b"], "a": ["a"], "b": ["b"], "abc": ["abc"], "c": ["c"]})
+    assert make("abc") == ["abc"] and make("abab") == ["a", "b", "a", "b"] and make("abd") == [] and make("") == []
+    df = spark.createDataFrame([(1, "กาก"), (2, None), (3, ""), (4, "กาก")], "i int, w string")
+    assert {r.i: r.parts for r in segment.segmented(df, "w", known).collect()} == {1: ["กา", "ก"], 2: None, 3: [], 4: ["กา", "ก"]}
+    entries = spark.createDataFrame([("ก", ["ข"]), ("ก", ["ก"]), (None, ["x"]), ("ข", []), ("ค", None)], "word string, syllables array<string>")
+    assert segment.dictionary_of(entries) == {"ก": ["ก"]}
+
+
+def test_augment(spark):
+    words = [c + v + f for c in "กขคงจ" for v, f in (("า", "น"), ("ี", "น"), ("ิ", "น"), ("ะ", ""), ("า", "ก"))]
+    classes = syllable_classes(spark.createDataFrame([(w,) for w in words], "syll string"), "syll")
+    pairs = augment.class_pairs(classes, 4).collect()
+    assert len(pairs) == 20 and all(p.a < p.b for p in pairs) and len({(p.a, p.b) for p in pairs}) == 20
+    assert augment.class_pairs(classes, 100).count() == 5 * 10
+    key = {r.syll: r for r in classes.collect()}
+    for how in ("same_final", "same_vowel", "swapped"):
+        got = augment.candidates(classes, how, 3).collect()
+        assert got and all(key[r.syll].rhyme != key[r.candidate].rhyme for r in got)
+        assert max(sum(r.syll == w for r in got) for w in words) <= 3
+    swapped = augment.candidates(classes, "swapped", 50).collect()
+    assert {(r.syll, r.candidate) for r in swapped} == {(a + "ีน", b + "ิน") for a in "กขคงจ" for b in "กขคงจ"} | {(a + "ิน", b + "ีน") for a in "กขคงจ" for b in "กขคงจ"}
+    st = spark.createDataFrame([(i, "xx" + w, w) for i, w in enumerate(words)], "i int, w1 string, tail string")
+    out = augment.altered(st, augment.candidates(classes, "same_final", 3), "w1", "tail", ["i"], 10).collect()
+    assert len(out) == 10 and all(r.new_line == "xx" + r.candidate for r in out)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wakloom.functions import text as X
 from wakloom.functions.phonology import syllable_classes
-from wakloom.operators import dictionary, metrics, rhymes, structure
+from wakloom.operators import augment, dictionary, meter, metrics, rhymes, segment, structure
 from wakloom.operators.memo import once_per_value
 from wakloom.session import table
 
@@ -302,3 +302,52 @@ def fun_spelling_flags(spark, sf_dir):
 def fun_json_numbers(spark, sf_dir):
     k = F.from_json("props", "k long")["k"]
     return table(spark, sf_dir, "events").select("event_id", k.alias("k"), k.isNotNull().alias("has_k"), F.round(F.col("value") * 100 / 7, 4).alias("scaled"))
+
+
+@query(_SYLL + """, n AS (SELECT entry_id, len(syllables) AS n FROM override_entry) SELECT entry_id, coalesce(n, 0) AS n_syllables, CASE WHEN coalesce(n, 0) <= 6 THEN 'opener' WHEN n <= 9 THEN 'body' ELSE 'irregular' END AS kind,
+CASE n WHEN 7 THEN '3,2,2' WHEN 8 THEN '3,2,3' WHEN 9 THEN '3,3,3' END AS rhythm, coalesce(n = 7 OR n >= 10, false) AS needs_review FROM n""")
+def rule_line_analysis(spark, sf_dir):
+    """Each syllable of an entry is a word of its own."""
+    e = table(spark, sf_dir, "override_entry").select("entry_id", F.transform("syllables", lambda s: F.struct(s.alias("w"), F.lit(1).alias("n"))).alias("words"))
+    out = meter.analysed(e, "words")
+    return out.select("entry_id", "n_syllables", "kind", F.array_join(F.transform("rhythm", lambda x: x.cast("string")), ",").alias("rhythm"), "needs_review")
+
+
+_BLANK = r"[\t\n\v\f\r \x{1c}-\x{1f}\x{85}\p{Z}]"
+
+
+@query("WITH q AS (SELECT queue_id, " + ", ".join(f"regexp_replace(coalesce({c}, ''), '{_BLANK}', '', 'g') AS {c}" for c in ("wak", "a", "b", "c")) + """ FROM review_queue)
+SELECT queue_id, CASE WHEN a || b || c = '' THEN 'deferred' WHEN lower(a) = 'x' AND b || c = '' THEN 'exclude' WHEN a <> '' AND b <> '' AND c <> '' AND a || b || c = wak THEN 'cut' ELSE 'rejected' END AS action FROM q""")
+def rule_manual_cuts(spark, sf_dir):
+    return table(spark, sf_dir, "review_queue").select("queue_id", meter.manual_cut(F.col("wak"), F.col("a"), F.col("b"), F.col("c")).alias("action"))
+
+
+def _classes(spark, sf_dir):
+    s = table(spark, sf_dir, "override_entry").select(F.explode("syllables").alias("syll")).where("syll <> ''").distinct()
+    return syllable_classes(s, "syll")
+
+
+@query()
+def aug_class_pairs(spark, sf_dir):
+    return augment.class_pairs(_classes(spark, sf_dir), 60)
+
+
+@query()
+def aug_candidates(spark, sf_dir):
+    classes = _classes(spark, sf_dir)
+    return augment.candidates(classes, "same_final").unionAll(augment.candidates(classes, "same_vowel")).unionAll(augment.candidates(classes, "swapped"))
+
+
+@query()
+def udf_longest_match(spark, sf_dir):
+    """Lines of the review queue cut to the syllables of the dictionary."""
+    known = segment.dictionary_of(table(spark, sf_dir, "override_entry").where("size(syllables) = 1"))
+    q = table(spark, sf_dir, "review_queue").select("queue_id", "wak")
+    return segment.segmented(q, "wak", known).select("queue_id", "wak", F.size("parts").alias("n_parts"), F.array_join("parts", "-").alias("parts"))
+
+
+@query()
+def udf_fewest_syllables(spark, sf_dir):
+    known = segment.dictionary_of(table(spark, sf_dir, "override_draft"))
+    words = table(spark, sf_dir, "override_entry").select("word").where("word is not null").distinct()
+    return segment.segmented(words, "word", known, segment.fewest_syllables).select("word", F.array_join("parts", "-").alias("parts"))
