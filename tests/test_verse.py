@@ -64,7 +64,7 @@ def test_structure(spark):
 def test_sound_windows(spark):
     df = spark.createDataFrame([(k, i, i not in (2, 5)) for k in "ab" for i in range(8 if k == "a" else 1)], "k string, i int, ok boolean")
     for width, want in ((1, 7), (2, 1 + 1 + 1), (3, 0)):
-        out = structure.sound_windows(df, ["k"], "i", F.col("ok"), ["i"], width)
+        out = structure.sound_windows(df, ["k"], ["i"], F.col("ok"), ["i"], width)
         assert out.count() == want
         assert all(len(r.v) == width for r in out.collect())
 
@@ -116,6 +116,13 @@ def test_ranking(spark):
     assert {r["count"] for r in ranking.round_robin(df, ["x"], 4, "c").groupBy("c").count().collect()} == {250}
 
 
+def test_places_in_groups(spark):
+    df = spark.createDataFrame([(k, i) for k in ("a", "b", None) for i in range(5)], "k string, i int")
+    assert all(r.n == r.i for r in ranking.rank_in_group(df, ["k"], ["i"], "n").collect())
+    got = {(r.k, r.i): r.p for r in structure.with_previous(df, ["k"], ["i"], "i", "p").collect()}
+    assert got == {(k, i): (i - 1 if i else None) for k in ("a", "b", None) for i in range(5)}
+
+
 def one(spark, expr, **values):
     names = list(values)
     return spark.createDataFrame([tuple(values.values())], ", ".join(f"{n} {'array<string>' if isinstance(v, list) else 'string'}" for n, v in values.items())).select(expr.alias("x")).first().x if names else None

@@ -1,8 +1,10 @@
 """Sections, stanzas and windows of chapters, as window functions over line positions.
 
 Lines are (chapter, pos, line, anchor): pos counts lines in their order, anchor
-marks a line before which a new section begins. A chapter is one window
-partition; nothing crosses chapters.
+marks a line before which a new section begins. Lines of one text are one
+window partition, as they come from one row; over tables of stanzas, where one
+chapter may hold a large part of all rows, places over the whole table are used
+instead of windows.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakloom.functions.text import CONSONANT, strip
+from wakloom.operators.ranking import global_rank, with_neighbour
 
 ANCHOR, END = "๏", "ฯ"
 
@@ -74,21 +77,26 @@ def _wide(body: DataFrame, key: list[str]) -> DataFrame:
     return body.groupBy(*key, F.floor(F.col("k") / 4).cast("int").alias("stanza")).agg(F.count("*").alias("n"), *[pick(i) for i in range(4)]).where("n = 4").drop("n")
 
 
-def sound_windows(stanzas: DataFrame, key: list[str], order: str, sound: Column, values: list[str], width: int = 2) -> DataFrame:
+def sound_windows(stanzas: DataFrame, key: list[str], order: list[str], sound: Column, values: list[str], width: int = 2) -> DataFrame:
     """Windows of width consecutive sound rows, step one, within runs that nothing unsound breaks.
 
-    key, the order of the first row, and v: an array of width structs of values.
+    key, order and v: an array of width structs of values. Places over the
+    whole table take the part of windows over key, so that one group may hold
+    any part of the rows: in a run, the place among all rows and the place
+    among sound rows move together. The order must be total within a key.
     """
-    by = Window.partitionBy(*key).orderBy(order)
-    runs = stanzas.withColumn("_rn", F.row_number().over(by)).where(sound).withColumn("_run", F.col("_rn") - F.row_number().over(by))
-    ahead = Window.partitionBy(*key, "_run").orderBy(order)
-    items = [F.struct(*values)] + [F.lead(F.struct(*values), i).over(ahead) for i in range(1, width)]
-    return runs.select(*key, order, F.array(*items).alias("v"), F.lead(order, width - 1).over(ahead).alias("_last") if width > 1 else F.col(order).alias("_last")).where("_last is not null").drop("_last")
+    whole = global_rank(stanzas.select(*key, *order, F.struct(*values).alias("_v0"), sound.alias("_ok")), [*key, *order], "_g")
+    runs = global_rank(whole.where("_ok"), ["_g"], "_s").withColumn("_run", F.col("_g") - F.col("_s"))
+    for i in range(1, width):
+        runs = with_neighbour(runs, "_s", [*key, "_run"], {f"_v{i}": "_v0"}, i)
+        runs = runs.withColumn("_whole", F.col(f"_v{i}").isNotNull() & (F.col("_whole") if i > 1 else F.lit(True)))
+    out = runs.where("_whole") if width > 1 else runs
+    return out.select(*key, *order, F.array(*[f"_v{i}" for i in range(width)]).alias("v"))
 
 
 def with_previous(stanzas: DataFrame, key: list[str], order: list[str], column: str, name: str) -> DataFrame:
-    """The value of the row before, null for the first."""
-    return stanzas.withColumn(name, F.lag(column).over(Window.partitionBy(*key).orderBy(*order)))
+    """The value of the row before in its group, null for the first. The order must be total within a key."""
+    return with_neighbour(global_rank(stanzas, [*key, *order], "_g"), "_g", key, {name: column}, -1).drop("_g")
 
 
 def chapter_bounds(stanzas: DataFrame, number: Column) -> DataFrame:

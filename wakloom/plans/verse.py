@@ -11,6 +11,7 @@ from wakloom.functions import text as X
 from wakloom.functions.phonology import syllable_classes
 from wakloom.operators import augment, dictionary, meter, metrics, rhymes, segment, structure
 from wakloom.operators.memo import once_per_value
+from wakloom.operators.ranking import rank_in_group
 from wakloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,19 +75,18 @@ def win_eval_stanzas(spark, sf_dir):
 
 @query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY "row", stanza_id) AS pos, w1 IS NOT NULL AND w2 IS NOT NULL AND w3 IS NOT NULL AND w4 IS NOT NULL AND prev_w4 IS NOT NULL AS sound FROM stanza),
 r AS (SELECT *, pos - row_number() OVER (PARTITION BY chapter ORDER BY pos) AS run FROM o WHERE sound),
-n AS (SELECT chapter, pos, w1, w2, w3, w4, lead(w1) OVER w AS v1, lead(w2) OVER w AS v2, lead(w3) OVER w AS v3, lead(w4) OVER w AS v4 FROM r WINDOW w AS (PARTITION BY chapter, run ORDER BY pos))
-SELECT chapter, pos::INT AS pos, concat_ws('|', w1, w2, w3, w4, v1, v2, v3, v4) AS lines FROM n WHERE v1 IS NOT NULL""")
+n AS (SELECT chapter, "row", stanza_id, w1, w2, w3, w4, lead(w1) OVER w AS v1, lead(w2) OVER w AS v2, lead(w3) OVER w AS v3, lead(w4) OVER w AS v4 FROM r WINDOW w AS (PARTITION BY chapter, run ORDER BY pos))
+SELECT chapter, "row", stanza_id, concat_ws('|', w1, w2, w3, w4, v1, v2, v3, v4) AS lines FROM n WHERE v1 IS NOT NULL""")
 def win_pairs_in_sound_runs(spark, sf_dir):
-    order = Window.partitionBy("chapter").orderBy("row", "stanza_id")
-    st = table(spark, sf_dir, "stanza").withColumn("pos", F.row_number().over(order))
+    st = table(spark, sf_dir, "stanza").select("chapter", "row", "stanza_id", "w1", "w2", "w3", "w4", "prev_w4")
     sound = F.col("w1").isNotNull() & F.col("w2").isNotNull() & F.col("w3").isNotNull() & F.col("w4").isNotNull() & F.col("prev_w4").isNotNull()
-    out = structure.sound_windows(st, ["chapter"], "pos", sound, ["w1", "w2", "w3", "w4"])
-    return out.select("chapter", "pos", F.concat_ws("|", *[F.col("v")[i][f"w{j}"] for i in (0, 1) for j in (1, 2, 3, 4)]).alias("lines"))
+    out = structure.sound_windows(st, ["chapter"], ["row", "stanza_id"], sound, ["w1", "w2", "w3", "w4"])
+    return out.select("chapter", "row", "stanza_id", F.concat_ws("|", *[F.col("v")[i][f"w{j}"] for i in (0, 1) for j in (1, 2, 3, 4)]).alias("lines"))
 
 
 @query("""SELECT stanza_id, prev_w4 AS told, lag(w4) OVER (PARTITION BY story, chapter ORDER BY "row", stanza_id) AS before FROM stanza""")
 def join_previous_row(spark, sf_dir):
-    st = structure.with_previous(table(spark, sf_dir, "stanza"), ["story", "chapter"], ["row", "stanza_id"], "w4", "before")
+    st = structure.with_previous(table(spark, sf_dir, "stanza").select("stanza_id", "story", "chapter", "row", "w4", "prev_w4"), ["story", "chapter"], ["row", "stanza_id"], "w4", "before")
     return st.select("stanza_id", F.col("prev_w4").alias("told"), "before")
 
 
@@ -254,8 +254,15 @@ def win_first_occurrence(spark, sf_dir):
 
 @query("""SELECT chapter, "row", 'neg_' || lpad(row_number() OVER (PARTITION BY chapter ORDER BY "row", stanza_id)::VARCHAR, 6, '0') AS label, story || '#' || chapter || ':' || "row" AS place, ntile(4) OVER (PARTITION BY chapter ORDER BY "row", stanza_id) AS slice FROM stanza""")
 def win_numbering(spark, sf_dir):
-    w = Window.partitionBy("chapter").orderBy("row", "stanza_id")
-    return table(spark, sf_dir, "stanza").select("chapter", "row", F.concat(F.lit("neg_"), F.lpad(F.row_number().over(w).cast("string"), 6, "0")).alias("label"), F.concat_ws("", "story", F.lit("#"), "chapter", F.lit(":"), F.col("row").cast("string")).alias("place"), F.ntile(4).over(w).alias("slice"))
+    st = table(spark, sf_dir, "stanza").select("story", "chapter", "row", "stanza_id")
+    placed = rank_in_group(st, ["chapter"], ["row", "stanza_id"], "k")
+    n = st.groupBy("chapter").agg(F.count("*").alias("n"))
+    placed = placed.join(n, "chapter")
+    # Of n rows in four slices, the first n mod 4 slices have one more.
+    small, more = F.floor(F.col("n") / 4), F.col("n") % 4
+    early = (small + 1) * more
+    slice_ = F.when(F.col("k") < early, F.floor(F.col("k") / (small + 1))).otherwise(more + F.floor((F.col("k") - early) / F.greatest(small, F.lit(1)))) + 1
+    return placed.select("chapter", "row", F.concat(F.lit("neg_"), F.lpad((F.col("k") + 1).cast("string"), 6, "0")).alias("label"), F.concat_ws("", "story", F.lit("#"), "chapter", F.lit(":"), F.col("row").cast("string")).alias("place"), slice_.alias("slice"))
 
 
 @query("""WITH a AS (SELECT *, row_number() OVER (ORDER BY n_seen DESC NULLS LAST, word_id) - 1 AS r FROM (SELECT DISTINCT word_id, n_seen, reviewed FROM overrides_main) WHERE reviewed), b AS (SELECT *, row_number() OVER (ORDER BY n_seen DESC NULLS LAST, word_id) - 1 AS r FROM (SELECT DISTINCT word_id, n_seen, reviewed FROM overrides_main) WHERE NOT reviewed)
