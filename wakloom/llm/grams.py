@@ -59,22 +59,34 @@ class Index:
     """Keys with their postings, for lookups of many keys at once."""
 
     def __init__(self, keys: np.ndarray, bits: int = 22) -> None:
-        self.order = np.argsort(keys, kind="stable")
-        self.keys, self.first = np.unique(keys[self.order], return_index=True)
-        self.count = np.diff(np.append(self.first, len(keys)))
-        self.shift = np.uint64(64 - bits)
-        self.there = np.zeros(1 << bits, bool)
-        self.there[(self.keys >> self.shift).astype(np.int64)] = True
+        order = np.argsort(keys, kind="stable")
+        self.keys, first = np.unique(keys[order], return_index=True)
+        small = np.int32 if len(keys) < 1 << 31 else np.int64
+        self.order, self.first = order.astype(small), first.astype(small)
+        self.count = np.diff(np.append(first, len(keys))).astype(small)
+        self.bits = bits
+        self._there = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_there": None}  # made anew where it is used
+
+    @property
+    def there(self) -> np.ndarray:
+        if self._there is None:
+            there = np.zeros(1 << self.bits, bool)
+            there[(self.keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
+            self._there = there
+        return self._there
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in keys, place in the indexed keys) of every match."""
         if not len(self.keys):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.flatnonzero(self.there[(keys >> self.shift).astype(np.int64)])
+        at = np.flatnonzero(self.there[(keys >> np.uint64(64 - self.bits)).astype(np.int64)])
         k = np.searchsorted(self.keys, keys[at])
         k[k == len(self.keys)] = 0
         hit = self.keys[k] == keys[at]
         at, k = at[hit], k[hit]
-        n = self.count[k]
+        n = self.count[k].astype(np.int64)
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(at, n), self.order[np.repeat(self.first[k], n) + step]
+        return np.repeat(at, n), self.order[np.repeat(self.first[k], n) + step].astype(np.int64)
