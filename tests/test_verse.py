@@ -249,3 +249,10 @@ def test_augment(spark):
     st = spark.createDataFrame([(i, "xx" + w, w) for i, w in enumerate(words)], "i int, w1 string, tail string")
     out = augment.altered(st, augment.candidates(classes, "same_final", 3), "w1", "tail", ["i"], 10).collect()
     assert len(out) == 10 and all(r.new_line == "xx" + r.candidate for r in out)
+
+
+def test_training_rows(spark):
+    df = spark.createDataFrame([(i, f"a{i} | b | c", "x|y", None, "p | q | r | s") for i in range(2)], "i int, w1 string, w2 string, w3 string, w4 string").withColumn("k", F.lit("c"))
+    row = structure.training_rows(structure.sound_windows(df, ["k"], ["i"], F.lit(True), ["w1", "w2", "w3", "w4"]), ["k", "i"]).collect()
+    assert len(row) == 1 and len(row[0]) == 26
+    assert (row[0].w1_a, row[0].w5_a, row[0].w2_b, row[0].w2_c, row[0].w3_a, row[0].w4_c) == ("a0", "a1", "y", "", None, "r")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wakloom.functions.text import CONSONANT, strip
+from wakloom.functions.text import CONSONANT, cells, strip
 from wakloom.operators.ranking import global_rank, with_neighbour
 
 ANCHOR, END = "๏", "ฯ"
@@ -104,3 +104,15 @@ def chapter_bounds(stanzas: DataFrame, number: Column) -> DataFrame:
     ends = stanzas.groupBy("story", "chapter").agg(F.max_by("w4", F.struct("row", "stanza_id")).alias("last_w4"), F.min_by("w2", F.struct("row", "stanza_id")).alias("first_w2")).withColumn("number", number)
     w = Window.partitionBy("story").orderBy("number", "chapter")
     return ends.select("story", "chapter", "number", "last_w4", F.lead("chapter").over(w).alias("next_chapter"), F.lead("first_w2").over(w).alias("next_w2")).where("next_chapter is not null")
+
+
+def beat_cells(segmented: Column, bar: str = r"\s*\|\s*") -> Column:
+    """The three cells of a cut line: padded with empty ones, more than three cut off; null for null."""
+    return cells(F.split(segmented, bar))
+
+
+def training_rows(windows: DataFrame, key: list[str], lines: list[str] | None = None) -> DataFrame:
+    """key and w1_a .. w8_c of windows of two stanzas (v, from sound_windows) whose lines are cut by bars."""
+    lines = lines or ["w1", "w2", "w3", "w4"]
+    out = [beat_cells(F.col("v")[i][w])[c].alias(f"w{4 * i + j + 1}_{'abc'[c]}") for i in (0, 1) for j, w in enumerate(lines) for c in range(3)]
+    return windows.select(*key, *out)

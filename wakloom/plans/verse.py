@@ -358,3 +358,41 @@ def udf_fewest_syllables(spark, sf_dir):
     known = segment.dictionary_of(table(spark, sf_dir, "override_draft"))
     words = table(spark, sf_dir, "override_entry").select("word").where("word is not null").distinct()
     return segment.segmented(words, "word", known, segment.fewest_syllables).select("word", F.array_join("parts", "-").alias("parts"))
+
+
+@query(r"""WITH g AS (SELECT queue_id, regexp_split_to_array(guess, '\s*\|\s*') AS p FROM review_queue) SELECT queue_id, CASE WHEN p IS NOT NULL THEN coalesce(p[1], '') END AS a, CASE WHEN p IS NOT NULL THEN coalesce(p[2], '') END AS b, CASE WHEN p IS NOT NULL THEN coalesce(p[3], '') END AS c FROM g""")
+def snk_beat_cells(spark, sf_dir):
+    cells = structure.beat_cells(F.col("guess"))
+    return table(spark, sf_dir, "review_queue").select("queue_id", *[cells[i].alias("abc"[i]) for i in range(3)])
+
+
+@query("""WITH l AS (SELECT stanza_id, story, chapter, "row", w1, w2, w3, w4 FROM stanza), p AS (SELECT a.stanza_id, a.chapter, a."row", [a.w1, a.w2, a.w3, a.w4, b.w1, b.w2, b.w3, b.w4] AS w
+  FROM (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY "row", stanza_id) AS k FROM l) a JOIN (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY "row", stanza_id) AS k FROM l) b ON a.chapter = b.chapter AND b.k = a.k + 1)
+SELECT stanza_id, chapter, len(list_filter(w, lambda x: x IS NULL)) AS n_missing, len(list_distinct(w)) AS n_distinct FROM p""")
+def join_next_row_units(spark, sf_dir):
+    """Units of eight lines: each stanza with the next of its chapter."""
+    st = table(spark, sf_dir, "stanza").select("stanza_id", "chapter", "row", "w1", "w2", "w3", "w4")
+    units = structure.sound_windows(st, ["chapter"], ["row", "stanza_id"], F.lit(True), ["w1", "w2", "w3", "w4"])
+    lines = F.array(*[F.col("v")[i][f"w{j}"] for i in (0, 1) for j in (1, 2, 3, 4)])
+    return units.select("stanza_id", "chapter", F.size(F.filter(lines, lambda x: x.isNull())).alias("n_missing"), F.size(F.array_distinct(F.filter(lines, lambda x: x.isNotNull()))).alias("n_distinct"))
+
+
+@query("""WITH m AS (SELECT source, form, count(*) AS n FROM documents WHERE source IS NOT NULL AND form IS NOT NULL GROUP BY ALL) SELECT source, max(n) FILTER (form = 'chapter') AS chapters, coalesce(max(n) FILTER (form = 'note'), 0) AS notes, count(*) AS n_forms FROM m GROUP BY source""")
+def fun_maps(spark, sf_dir):
+    """Forms are few, so a source's map is small."""
+    d = table(spark, sf_dir, "documents").select("source", "form").where("source is not null and form is not null").groupBy("source", "form").agg(F.count("*").alias("n"))
+    m = d.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("form", "n"))).alias("m"))
+    return m.select("source", F.try_element_at("m", F.lit("chapter")).alias("chapters"), F.coalesce(F.try_element_at("m", F.lit("note")), F.lit(0).cast("long")).alias("notes"), F.size("m").alias("n_forms"))
+
+
+@query("""SELECT queue_id, TRY_CAST(nullif(regexp_extract(flag, '([0-9]+) syllables', 1), '') AS INT) AS told, contains(flag, 'lone consonant') AS lone, CASE WHEN flag IS NULL OR flag = '' THEN 'none' WHEN contains(flag, 'runs over') THEN 'straddle' WHEN contains(flag, 'lone') THEN 'lone' ELSE 'other' END AS sort FROM review_queue""")
+def fun_parsed_messages(spark, sf_dir):
+    f = F.col("flag")
+    sort = F.when(f.isNull() | (f == ""), "none").when(f.contains("runs over"), "straddle").when(f.contains("lone"), "lone").otherwise("other")
+    return table(spark, sf_dir, "review_queue").select("queue_id", F.regexp_extract(f, "([0-9]+) syllables", 1).try_cast("int").alias("told"), f.contains("lone consonant").alias("lone"), sort.alias("sort"))
+
+
+@query("""WITH q AS (SELECT *, sha256(coalesce('+' || wak, '-')) AS h FROM review_queue) SELECT flag, count(*) AS n, count(DISTINCT h) AS n_lines, min(queued_at) AS since FROM q WHERE queued_at < loaded_at GROUP BY flag HAVING count(*) >= 3""")
+def agg_having(spark, sf_dir):
+    q = table(spark, sf_dir, "review_queue").where("queued_at < loaded_at").withColumn("h", F.sha2(F.coalesce(F.concat(F.lit("+"), "wak"), F.lit("-")), 256))
+    return q.groupBy("flag").agg(F.count("*").alias("n"), F.countDistinct("h").alias("n_lines"), F.min("queued_at").alias("since")).where("n >= 3")
