@@ -189,7 +189,14 @@ def test_toxic(spark):
     assert {r.source: r.n_docs for r in toxic.toxic_rates(docs, marks).collect()} == {"s": 902, None: 1}
 
 
-@pytest.mark.parametrize("a, b", [("MоRON", "moron"), ("m0r0n", "moron"), ("mo​ron", "moron"), ("mooooron", "moron"), ("กาาาย", "กาย"), ("กา.ย", "กาย"), ("shí7", "shit")])
+@pytest.mark.parametrize("a, b", [("MоRON", "moron"), ("m0r0n", "moron"), ("mo​ron", "moron"), ("mooooron", "moron"), ("กาาาย", "กาย"), ("กา.ย", "กาย"), ("shí7", "shit"), ("sh!t", "shit"), ("moron!", "moron"), ("$hit", "shit"), ("a 1 b", "a 1b"), ("ab 3", "a b 3")])
 def test_spelling(a, b):
     x, y = toxic.spelled(pa.array([a])), toxic.spelled(pa.array([b]))
     assert x[0].tolist() == y[0].tolist()
+
+
+def test_spelling_row_by_row():
+    random.seed(13)
+    texts = ["".join(random.choices("ab1!3 $ก.", k=random.randint(0, 7))) for _ in range(2000)]
+    raw, off = toxic.spelled(pa.array(texts))
+    assert [raw[a:b].tolist() for a, b in zip(off, off[1:], strict=False)] == [toxic.spelled(pa.array([t]))[0].tolist() for t in texts]
