@@ -119,7 +119,7 @@ def pho_rhyme_classes(spark, sf_dir):
 def rule_stanza_verdicts(spark, sf_dir):
     """Last syllables are judged by the last consonant-headed tail of a line; see the README on segmenters."""
     st = table(spark, sf_dir, "stanza")
-    tail = lambda c: F.regexp_extract(F.col(c), "([เแโใไ]?[ก-ฮ]{1,2}[ะัาำิีึืุู็่้๊๋]*[ก-ฮ]?[์]?)$", 1)
+    tail = lambda c: F.regexp_extract(F.right(F.col(c), F.lit(12)), "([เแโใไ]?[ก-ฮ]{1,2}[ะัาำิีึืุู็่้๊๋]*[ก-ฮ]?[์]?)$", 1)
     tails = st.select("stanza_id", "story", "edition", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), tail(n).alias("tail")) for n in ("w1", "w2", "w3", "w4", "prev_w4")])).alias("t")).select("stanza_id", "story", "edition", "t.*")
     keys = once_per_value(tails, "tail", lambda d, c: syllable_classes(d, c).select(c, "rhyme"))
     wide = keys.groupBy("stanza_id", "story", "edition").agg(*[F.max(F.when(F.col("n") == n, F.col("rhyme"))).alias(n) for n in ("w1", "w2", "w3", "w4", "prev_w4")])
