@@ -189,6 +189,22 @@ def test_toxic(spark):
     assert {r.source: r.n_docs for r in toxic.toxic_rates(docs, marks).collect()} == {"s": 902, None: 1}
 
 
+def test_toxic_threshold_of_a_larger_table(spark, monkeypatch):
+    monkeypatch.setattr(toxic, "MOST_TOXIC", 30)
+    monkeypatch.setattr(toxic, "MOST_PLAIN", 60)
+    found = {}
+    for times in (1, 10):  # 30 toxic and 300 ordinary documents, and ten times as many
+        docs = spark.range(330 * times).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"))
+        marks = docs.select("doc_id", (F.col("doc_id") < 30 * times).cast("int").alias("toxic"))
+        _, mark, weight = toxic.labelled(docs, marks)
+        assert (mark.sum(), (~mark).sum(), weight) == (30, 60, 5.0)
+        # Toxic ones score 1 to 30; of the ordinary ones one in 20 scores 20.
+        score = np.where(mark, np.cumsum(mark), np.where(np.cumsum(~mark) % 20 == 0, 20, 0))
+        found[times] = toxic.best_threshold(score, mark, weight)
+    assert found[1] == found[10]
+
+
+
 @pytest.mark.parametrize("a, b", [("MоRON", "moron"), ("m0r0n", "moron"), ("mo​ron", "moron"), ("mooooron", "moron"), ("กาาาย", "กาย"), ("กา.ย", "กาย"), ("shí7", "shit"), ("sh!t", "shit"), ("moron!", "moron"), ("$hit", "shit"), ("a 1 b", "a 1b"), ("ab 3", "a b 3")])
 def test_spelling(a, b):
     x, y = toxic.spelled(pa.array([a])), toxic.spelled(pa.array([b]))

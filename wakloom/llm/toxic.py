@@ -264,7 +264,7 @@ def _dictionaries(raw: np.ndarray, off: np.ndarray, toxic: np.ndarray) -> Model:
 def fit(texts: list[str], toxic: np.ndarray, weight: float = 1.0) -> Model:
     """Dictionaries of all labelled texts; the threshold from texts the dictionaries did not see.
 
-    weight: how many ordinary labelled texts one of those given stands for.
+    weight: how many ordinary labelled texts one of those given stands for, for each toxic one a toxic one stands for.
     """
     toxic = np.asarray(toxic, bool)
     if not toxic.any() or toxic.all():
@@ -276,23 +276,27 @@ def fit(texts: list[str], toxic: np.ndarray, weight: float = 1.0) -> Model:
         if toxic[part].any() and not toxic[part].all():
             model = _dictionaries(*cut_rows(raw, off, part), toxic[part])
             score[~part] = model.scores(*cut_rows(raw, off, ~part))
-    # The middle of the thresholds whose F1 is within 0.003 of the best.
     tried = np.ones(len(toxic), bool) if len(toxic) < FEW else ~half
-    w = np.where(toxic, 1.0, weight) * tried
-    f1 = np.array([2 * w[(score >= t) & toxic].sum() / max(1.0, w[score >= t].sum() + w[toxic].sum()) for t in range(1, WINDOW)])
-    at = np.flatnonzero(f1 >= f1.max() - 0.003) + 1
     model = _dictionaries(raw, off, toxic)
-    model.threshold = float(at[len(at) // 2])
+    model.threshold = best_threshold(score[tried], toxic[tried], weight)
     return model
 
 
+def best_threshold(score: np.ndarray, toxic: np.ndarray, weight: float) -> float:
+    """The middle of the thresholds whose F1, ordinary texts taken weight times, is within 0.003 of the best."""
+    w = np.where(toxic, 1.0, weight)
+    f1 = np.array([2 * w[(score >= t) & toxic].sum() / max(1.0, w[score >= t].sum() + w[toxic].sum()) for t in range(1, WINDOW)])
+    at = np.flatnonzero(f1 >= f1.max() - 0.003) + 1
+    return float(at[len(at) // 2])
+
+
 def cut_rows(raw: np.ndarray, off: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size = np.diff(off)
     return raw[np.repeat(rows, size)], np.concatenate(([0], np.cumsum(size[rows])))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[list[str], np.ndarray, float]:
-    """Texts and marks of at most MOST_TOXIC and MOST_PLAIN labelled documents, first by hash, and the weight of a plain one."""
+    """Texts and marks of at most MOST_TOXIC and MOST_PLAIN labelled documents, first by hash, and the weight of a plain one against a toxic one."""
     marks = labels.where("toxic is not null").groupBy(doc_id).agg((F.avg("toxic") > 0.5).alias("_toxic"), F.avg("toxic").alias("_mean")).where("_mean <> 0.5").drop("_mean")
     n = {r._toxic: r.n for r in marks.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64(doc_id), F.col(doc_id)]
@@ -300,7 +304,7 @@ def labelled(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     # At most MOST_TOXIC + MOST_PLAIN rows.
     rows = docs.select(doc_id, text).where(F.col(text).isNotNull()).join(F.broadcast(chosen), doc_id).select(doc_id, F.left(text, F.lit(FIT_POINTS)).alias("t"), "_toxic").toArrow()
     got = sorted(zip(*(rows.column(c).to_pylist() for c in (doc_id, "t", "_toxic")), strict=True), key=lambda x: x[0])
-    return [t for _, t, _ in got], np.array([m for _, _, m in got], bool), max(1.0, n.get(False, 0) / MOST_PLAIN)
+    return [t for _, t, _ in got], np.array([m for _, _, m in got], bool), max(1.0, n.get(False, 0) / MOST_PLAIN) / max(1.0, n.get(True, 0) / MOST_TOXIC)
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
