@@ -110,6 +110,26 @@ def test_overlaps_like_brute_force(spark):
     assert overlap.overlaps(q.where("eval_id < 0"), p).count() == 0 and overlap.overlaps(q, p.where("stanza_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("size, least", [(40, 1.0), (60, 1.0), (80, 0.98), (100, 0.99), (124, 0.99)])
+def test_overlaps_near_a_fifth_by_length(size, least):
+    rng = random.Random(size)
+    letters = "กขคงจฉชซดตถทนบปผพฟมยรลวสหอา"
+
+    def edited(t):
+        t = list(t)
+        for at in sorted(rng.sample(range(size), size // 5), reverse=True):
+            t[at : at + 1] = rng.choice(([rng.choice(letters)], [rng.choice(letters)], [], [t[at], rng.choice(letters)]))
+        return "".join(t)
+
+    texts = ["".join(rng.choices(letters, k=size)) for _ in range(400)]
+    pool = [edited(t) for t in texts]
+    sides = [overlap.joined_lines([pa.array([t[k * size // 4 : (k + 1) * size // 4] if k < 3 else t[3 * size // 4 :] for t in side]) for k in range(4)]) for side in (texts, pool)]
+    want = {k for k in range(400) if plain_distance(texts[k], pool[k]) <= max(size, len(pool[k])) // 5}
+    a, b = overlap.Block(np.arange(400), *sides[0]).pairs(*sides[1])
+    found = set(a[a == b].tolist())
+    assert found <= want and len(found) >= least * len(want) > 300
+
+
 def test_components(spark):
     e = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(30)] + [("x", "y"), ("y", "x"), ("z", "z"), ("hub", "n05"), (None, "q")], "u string, v string")
     want = {(f"n{i:02d}", "hub") for i in range(31)} | {("hub", "hub"), ("x", "x"), ("y", "x"), ("z", "z")}
