@@ -256,3 +256,18 @@ def test_training_rows(spark):
     row = structure.training_rows(structure.sound_windows(df, ["k"], ["i"], F.lit(True), ["w1", "w2", "w3", "w4"]), ["k", "i"]).collect()
     assert len(row) == 1 and len(row[0]) == 26
     assert (row[0].w1_a, row[0].w5_a, row[0].w2_b, row[0].w2_c, row[0].w3_a, row[0].w4_c) == ("a0", "a1", "y", "", None, "r")
+
+
+def test_stanza_verdicts_look_inside_lines(spark):
+    from wakloom.plans.verse import stanza_verdicts
+
+    entries = spark.createDataFrame([("กาดินมี", ["กา", "ดิน", "มี"]), ("นาคูปลาชู", ["นา", "คู", "ปลา", "ชู"])], "word string, syllables array<string>")
+    # r1: กา among the first of line 2; r2: ชู and คู, in spite of the blank; r3: คู among the first of line 4, or the last only.
+    rows = [
+        (1, "s", "e", "ดินมีกา", "ดินนามีชู", "มีกาคู ", "ดินชูมี", "มีดินคู"),
+        (2, "s", "e", "ดินมีกา", "ดินดินมีมีคูปลา", "มีกาคู", "ดินดินดินดินดินคู", None),
+        (3, "s", "e", None, "ดินนามีชู", "zรู", "ดินชูมี", " "),
+    ]
+    df = spark.createDataFrame(rows, "stanza_id int, story string, edition string, w1 string, w2 string, w3 string, w4 string, prev_w4 string")
+    got = {r.stanza_id: (r.r1, r.r2, r.r3, r.rx) for r in stanza_verdicts(df, entries).collect()}
+    assert got == {1: (True, True, True, True), 2: (False, False, False, None), 3: (False, True, True, None)}

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakloom.operators.memo import once_per_value
@@ -61,20 +61,44 @@ def fewest_syllables(known: dict[str, list[str]]) -> Segmenter:
 
     Of equal counts the one whose first word is shorter is taken.
     """
-    longest = max(map(len, known), default=0)
+    sizes: dict[str, list[int]] = {}  # of the words that begin with a character
+    for first, n in sorted({(w[0], len(w)) for w in known if w}):
+        sizes.setdefault(first, []).append(n)
 
     def compose(text: str) -> list[str]:
         best: list[list[str] | None] = [None] * len(text) + [[]]
         for at in range(len(text) - 1, -1, -1):
-            for n in range(1, min(longest, len(text) - at) + 1):
-                tail, head = best[at + n], known.get(text[at : at + n])
-                if head is not None and tail is not None and (best[at] is None or len(head) + len(tail) < len(best[at])):
+            for n in sizes.get(text[at], ()):
+                if n > len(text) - at:
+                    break
+                tail = best[at + n]
+                head = known.get(text[at : at + n]) if tail is not None else None
+                if head is not None and (best[at] is None or len(head) + len(tail) < len(best[at])):
                     best[at] = head + tail
         return best[0] or []
 
     return compose
 
 
+def composed(known: dict[str, list[str]]) -> Segmenter:
+    """The fewest syllables; what can't be made whole is cut by longest match."""
+    make, cut = fewest_syllables(known), longest_match(known)
+    return lambda text: make(text) or cut(text)
+
+
+def parts_of(spark: SparkSession, known: dict[str, list[str]], how: Callable[[dict[str, list[str]]], Segmenter] = longest_match) -> Callable[[Column], Column]:
+    """A function from a text column to an array of its parts; each distinct text of a batch is cut once."""
+    sent = spark.sparkContext.broadcast(known)
+
+    @F.arrow_udf("array<string>")
+    def parts(col: pa.Array) -> pa.Array:
+        cut, coded = how(sent.value), col.dictionary_encode()
+        values = pa.array([cut(x) for x in coded.dictionary.to_pylist()], pa.list_(pa.string()))
+        return values.take(coded.indices)
+
+    return parts
+
+
 def segmented(df: DataFrame, text: str, known: dict[str, list[str]], how: Callable[[dict[str, list[str]]], Segmenter] = longest_match, name: str = "parts") -> DataFrame:
     """df with an array of parts of each text; null for null, empty for empty."""
     sent = df.sparkSession.sparkContext.broadcast(known)

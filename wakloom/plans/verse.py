@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wakloom.functions import text as X
-from wakloom.functions.phonology import syllable_classes
+from wakloom.functions.phonology import classes, syllable_classes
 from wakloom.operators import augment, dictionary, meter, metrics, rhymes, segment, structure
 from wakloom.operators.memo import once_per_value
 from wakloom.operators.ranking import rank_in_group
@@ -115,16 +115,36 @@ def pho_rhyme_classes(spark, sf_dir):
     return known.groupBy("rhyme", "vowel", "final_class", "weight").agg(F.count("*").alias("n_syllables"), F.countDistinct("_syllable_value").alias("n_distinct") if "_syllable_value" in known.columns else F.countDistinct("syllable").alias("n_distinct"))
 
 
+_KEY = "\x01"  # stands before a rhyme key among parts of a line that are not in the dictionary
+
+
+def syllable_keys(entries: DataFrame) -> dict[str, list[str]]:
+    """Marked rhyme keys of all syllables of the entries, and of the words spelled otherwise than their syllables."""
+    s = entries.select(F.explode("syllables").alias("word")).where("word <> ''").distinct()
+    own = segment.dictionary_of(s.select("word", F.array(F.concat(F.lit(_KEY), classes(F.col("word"))["rhyme"])).alias("syllables")))
+    odd = segment.dictionary_of(entries.where("word <> '' and array_join(syllables, '') <> word"))
+    return {w: [k for x in parts if x for k in own[x]] for w, parts in odd.items() if any(parts)} | own
+
+
+def stanza_verdicts(st: DataFrame, entries: DataFrame) -> DataFrame:
+    """stanza_id, story, edition with the verdicts on the keys of all syllables.
+
+    Lines are cut where they stand, each distinct one of a batch once: a table
+    of all distinct lines would be shuffled more than once.
+    """
+    bare = lambda n: F.regexp_replace(n, f"^{_EDGE}+|{_EDGE}+$", "")
+    parts = segment.parts_of(st.sparkSession, syllable_keys(entries), segment.composed)
+    cut = st.select("stanza_id", "story", "edition", *[parts(bare(n)).alias(n) for n in ("w1", "w2", "w3", "w4", "prev_w4")])
+    key = lambda p: F.when(p.startswith(_KEY), F.substr(p, F.lit(2))).otherwise(classes(p)["rhyme"])
+    keys = [F.coalesce(F.transform(n, key), F.array().cast("array<string>")).alias(n) for n in ("w1", "w2", "w3", "w4")]
+    arrays = cut.select("stanza_id", "story", "edition", *keys, rhymes.last(F.transform("prev_w4", key)).alias("prev_w4"))
+    return rhymes.verdicts(arrays, "w1", "w2", "w3", "w4", "prev_w4")
+
+
 @query()
 def rule_stanza_verdicts(spark, sf_dir):
-    """Last syllables are judged by the last consonant-headed tail of a line; see the README on segmenters."""
-    st = table(spark, sf_dir, "stanza")
-    tail = lambda c: F.regexp_extract(F.right(F.col(c), F.lit(12)), "([เแโใไ]?[ก-ฮ]{1,2}[ะัาำิีึืุู็่้๊๋]*[ก-ฮ]?[์]?)$", 1)
-    tails = st.select("stanza_id", "story", "edition", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), tail(n).alias("tail")) for n in ("w1", "w2", "w3", "w4", "prev_w4")])).alias("t")).select("stanza_id", "story", "edition", "t.*")
-    keys = once_per_value(tails, "tail", lambda d, c: syllable_classes(d, c).select(c, "rhyme"))
-    wide = keys.groupBy("stanza_id", "story", "edition").agg(*[F.max(F.when(F.col("n") == n, F.col("rhyme"))).alias(n) for n in ("w1", "w2", "w3", "w4", "prev_w4")])
-    arrays = wide.select("stanza_id", "story", "edition", *[F.array_compact(F.array(n)).alias(n) for n in ("w1", "w2", "w3", "w4")], "prev_w4")
-    checked = rhymes.verdicts(arrays, "w1", "w2", "w3", "w4", "prev_w4")
+    """Lines are cut into the syllables of the dictionary entries; see the README on segmenters."""
+    checked = stanza_verdicts(table(spark, sf_dir, "stanza"), table(spark, sf_dir, "override_entry"))
     return rhymes.by_rule(checked, ["stanza_id", "story"]).groupBy("story", "rule").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_ok"))
 
 
