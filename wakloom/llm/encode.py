@@ -5,7 +5,7 @@ up in a table of classes (letter, number, blank, other); where a piece begins
 is decided for all positions at once from the classes around it and from where
 runs begin and end. The pieces, as slices of the UTF-8 bytes, are hashed and
 looked up in a table of pieces already merged; only new ones go through pair
-merging. The offsets of the pieces stay, so ids can be traced to their text.
+merging. Only ids are returned, not the offsets of the pieces.
 
 Defined results: null and empty texts have no ids (an empty list). No special
 token is added, their strings in a text are ordinary text. Texts of any length
