@@ -110,24 +110,57 @@ def test_overlaps_like_brute_force(spark):
     assert overlap.overlaps(q.where("eval_id < 0"), p).count() == 0 and overlap.overlaps(q, p.where("stanza_id < 0")).count() == 0
 
 
-@pytest.mark.parametrize("size, least", [(40, 1.0), (60, 1.0), (80, 0.98), (100, 0.99), (124, 0.99)])
-def test_overlaps_near_a_fifth_by_length(size, least):
+@pytest.mark.parametrize("size", [20, 31, 48, 50, 60, 80, 97, 124, 160])
+def test_overlaps_miss_nothing_up_to_a_fifth(size):
     rng = random.Random(size)
     letters = "กขคงจฉชซดตถทนบปผพฟมยรลวสหอา"
+    ways = ["swap", "swap add", "swap cut", "add", "cut", "swap add cut"]
 
-    def edited(t):
+    def edited(t, n, how):
         t = list(t)
-        for at in sorted(rng.sample(range(size), size // 5), reverse=True):
-            t[at : at + 1] = rng.choice(([rng.choice(letters)], [rng.choice(letters)], [], [t[at], rng.choice(letters)]))
+        for at in sorted(rng.sample(range(len(t)), n), reverse=True):
+            x = rng.choice(letters)
+            t[at : at + 1] = {"swap": [x], "add": [t[at], x], "cut": []}[rng.choice(how.split())]
         return "".join(t)
 
-    texts = ["".join(rng.choices(letters, k=size)) for _ in range(400)]
-    pool = [edited(t) for t in texts]
+    texts = ["".join(rng.choices(letters, k=size)) for _ in range(180)]
+    pool = [edited(t, int(size * (0.15, 0.18, 0.2, 0.22)[k % 4]), ways[k % 6]) for k, t in enumerate(texts)]
     sides = [overlap.joined_lines([pa.array([t[k * size // 4 : (k + 1) * size // 4] if k < 3 else t[3 * size // 4 :] for t in side]) for k in range(4)]) for side in (texts, pool)]
-    want = {k for k in range(400) if plain_distance(texts[k], pool[k]) <= max(size, len(pool[k])) // 5}
-    a, b = overlap.Block(np.arange(400), *sides[0]).pairs(*sides[1])
-    found = set(a[a == b].tolist())
-    assert found <= want and len(found) >= least * len(want) > 300
+    want = {k for k in range(180) if plain_distance(texts[k], pool[k]) <= max(size, len(pool[k])) // 5}
+    a, b = overlap.Block(np.arange(180), *sides[0]).pairs(*sides[1])
+    assert set(a[a == b].tolist()) == want and len(want) > 100
+
+
+def test_good_starts_of_every_short_pair():
+    """Every pair of words of two letters up to nine long that is within a fifth, and longer ones with k edits at worst places."""
+    rng = random.Random(1)
+    words = sorted({"".join(rng.choices("กขค", k=rng.randint(1, 14))) for _ in range(500)})
+    one = overlap.Texts(*overlap.joined_lines([pa.array(words), *[pa.array([""] * len(words))] * 3])[:2])
+    common = overlap.Commonness(one.cps)
+    found = set()
+    for strict in (False, True):
+        for a, b in overlap.Starts(one.cps, one.off, common).find(one.cps, one.off, strict):
+            found |= set(zip(a.tolist(), b.tolist(), strict=True))
+    text = ["".join(map(chr, one.cps[x:y])) for x, y in zip(one.off, one.off[1:], strict=False)]
+    for i, x in enumerate(text):
+        for j, y in enumerate(text):
+            if len(y) <= len(x) and plain_distance(x, y) <= len(x) // 5:
+                assert (i, j) in found
+
+
+def test_blocks_and_hot_texts(spark, monkeypatch):
+    random.seed(8)
+    line = lambda: "".join(random.choices("กขคงจฉชซดตถทน", k=30))
+    hot = [line() for _ in range(4)]
+    query = [(i, *(hot if i % 3 == 0 else [line() for _ in range(4)])) for i in range(60)]
+    pool = [(i, *([mutate(hot[0], 8), *hot[1:]] if i % 3 == 0 else [line() for _ in range(4)])) for i in range(60)]
+    pool.append((99, *[mutate(x, 4) for x in query[1][1:]]))
+    q, p = spark.createDataFrame(query, f"eval_id long, {LINES}"), spark.createDataFrame(pool, f"stanza_id long, {LINES}")
+    want = {(a[0], b[0]) for a in query for b in pool if close(a[1:], b[1:])}
+    monkeypatch.setattr(overlap, "BLOCK_POINTS", 2000)  # several blocks give what one gives
+    monkeypatch.setattr(overlap, "POOL_POINTS", 3000)
+    rows = [tuple(r) for r in overlap.overlaps(q, p).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want and (1, 99) in want
 
 
 def test_components(spark):
