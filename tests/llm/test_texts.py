@@ -1,4 +1,3 @@
-import base64
 import random
 import unicodedata
 
@@ -101,19 +100,31 @@ def test_variants(spark):
 def test_encode(spark):
     tiktoken = pytest.importorskip("tiktoken")
     P = pytest.importorskip("public_tokenizers")
-    from wakloom.llm.encode import Encoder, decoder, encode
+    from wakloom.llm.encode import Decoder, Encoder, decoder, encode, read_ranks
 
     path = str(P.path("byte_bpe_50k.tiktoken"))
     with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        data = f.read()
+    ranks = read_ranks(data)
     ref = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     random.seed(3)
     alphabet = " \n\t 'sdmtlvreLXก่า1٣!.,-é́🙂'' "
     texts = ["".join(random.choices(alphabet, k=random.randint(0, 14))) for _ in range(8000)] + ["<|endoftext|>", " 's", "\n's", "it's", "I'llama", "'s's", "  ", "ก" * 50_000, "a  \n b " * 5000]
-    got = Encoder(path)(pa.array(texts)).to_pylist()
-    assert got == [ref.encode_ordinary(t) for t in texts]
+    enc = Encoder("own", data)
+    ids, ends = enc.spans(pa.array(texts), True)
+    assert ids.to_pylist() == [ref.encode_ordinary(t) for t in texts]
+    assert Decoder(ranks)(ids).to_pylist() == texts
+    for t, i, e in zip(texts, ids.to_pylist(), ends.to_pylist(), strict=True):
+        assert [t.encode()[a:b] for a, b in zip([0, *e], e)] == [ref.decode_single_token_bytes(x) for x in i]
+    # Two words of one hash, whatever its base: each gets its own ids, in one batch and after another.
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    twins = [word, word.translate(str.maketrans("ab", "ba"))]
+    raw = np.frombuffer("".join(twins).encode(), np.uint8)
+    h = enc.hashes(raw, np.array([0, 2048, 4096]))
+    assert h[0] == h[1] and enc(pa.array([twins[0], *twins])).to_pylist() == [ref.encode_ordinary(t) for t in (twins[0], *twins)]
+    assert enc(pa.array(twins[::-1])).to_pylist() == [ref.encode_ordinary(t) for t in twins[::-1]]
     rows = [(1, "ไก่ it's"), (2, None), (3, ""), (4, "ไก่ it's")]
     df = encode(spark.createDataFrame([(i, t, "e") for i, t in rows], "doc_id long, text string, ids string"), "doc_id", "text")
     ids = {r.doc_id: r.ids for r in df.collect()}
     assert ids == {1: ref.encode_ordinary("ไก่ it's"), 4: ref.encode_ordinary("ไก่ it's"), 2: [], 3: []}
-    assert {r[0]: r[1] for r in df.select("doc_id", decoder()("ids")).collect()} == {1: "ไก่ it's", 2: "", 3: "", 4: "ไก่ it's"}
+    assert {r[0]: r[1] for r in df.select("doc_id", decoder(spark)("ids")).collect()} == {1: "ไก่ it's", 2: "", 3: "", 4: "ไก่ it's"}

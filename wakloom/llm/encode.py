@@ -4,8 +4,10 @@ Texts are cut into pieces without a regular expression. Code points are looked
 up in a table of classes (letter, number, blank, other); where a piece begins
 is decided for all positions at once from the classes around it and from where
 runs begin and end. The pieces, as slices of the UTF-8 bytes, are hashed and
-looked up in a table of pieces already merged; only new ones go through pair
-merging. Only ids are returned, not the offsets of the pieces.
+looked up in a table of pieces already merged; a piece found is compared byte
+by byte with the one in the table, so unlike pieces of one hash never get each
+other's ids. Only new ones go through pair merging. Where each id ends in the
+text's bytes is kept beside the ids (spans).
 
 Defined results: null and empty texts have no ids (an empty list). No special
 token is added, their strings in a text are ordinary text. Texts of any length
@@ -16,12 +18,13 @@ from __future__ import annotations
 
 import base64
 import os
+import secrets
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +47,10 @@ def default_vocabulary() -> str:
         return "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
+def read_ranks(data: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
+
+
 class Classes:
     def __init__(self) -> None:
         self.of = np.zeros(0x110000, np.uint8)
@@ -98,14 +105,17 @@ def piece_starts(cps: np.ndarray, off: np.ndarray, k: np.ndarray) -> np.ndarray:
 class Encoder:
     """Pieces to ids, with a table of the pieces met so far."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, name: str, data: bytes) -> None:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.merge = tiktoken.Encoding(os.path.basename(path), pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        ranks = read_ranks(data)
+        self.merge = tiktoken.Encoding(name, pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.classes = Classes()
         self.byte_key = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self.width = np.zeros(max(ranks.values()) + 1, np.int32)  # bytes of each id
+        for piece, i in ranks.items():
+            self.width[i] = len(piece)
+        self._base = secrets.randbits(64) | 1
         self._powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
         self._fresh()
 
@@ -117,13 +127,16 @@ class Encoder:
         self.known = 0
         self.flat = np.zeros(1 << 14, np.int32)
         self.used = 0
+        self.size, self.begin = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)  # of each piece's bytes in text
+        self.text = np.zeros(1 << 16, np.uint8)
+        self.filled = 0
+        self.twins: dict[bytes, int] = {}  # pieces whose hash another piece has
 
     def _power(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Powers of an odd number and of its inverse, modulo 2**64."""
         if len(self._powers[0]) < n:
-            base = 0x5851F42D4C957F2D
             out = []
-            for b in (base, pow(base, -1, 1 << 64)):
+            for b in (self._base, pow(self._base, -1, 1 << 64)):
                 p = np.full(n, b, np.uint64)
                 p[0] = 1
                 out.append(np.multiply.accumulate(p))
@@ -156,22 +169,40 @@ class Encoder:
             todo = todo[~hit & (k != 0)]
         return out
 
+    def _learn(self, piece: bytes) -> int:
+        """The place of a new piece."""
+        ids = self.merge(piece)
+        if self.known == len(self.n_ids):
+            self.n_ids, self.at, self.size, self.begin = (np.append(x, np.zeros_like(x)) for x in (self.n_ids, self.at, self.size, self.begin))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.append(self.flat, np.zeros_like(self.flat))
+        while self.filled + len(piece) > len(self.text):
+            self.text = np.append(self.text, np.zeros_like(self.text))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.text[self.filled : self.filled + len(piece)] = np.frombuffer(piece, np.uint8)
+        self.n_ids[self.known], self.at[self.known] = len(ids), self.used
+        self.size[self.known], self.begin[self.known] = len(piece), self.filled
+        self.known += 1
+        self.used += len(ids)
+        self.filled += len(piece)
+        return self.known - 1
+
     def _add(self, h: np.ndarray, raw: bytes, at: np.ndarray, which: np.ndarray) -> None:
         mask = len(self.keys) - 1
         for i, x in zip(which.tolist(), h[which].tolist(), strict=True):
-            ids = self.merge(raw[at[i] : at[i + 1]])
-            if self.known == len(self.n_ids):
-                self.n_ids, self.at = np.append(self.n_ids, np.zeros_like(self.n_ids)), np.append(self.at, np.zeros_like(self.at))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.append(self.flat, np.zeros_like(self.flat))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.n_ids[self.known], self.at[self.known] = len(ids), self.used
+            place = self._learn(raw[at[i] : at[i + 1]])
             s = (x >> 20) & mask
             while self.keys[s]:
                 s = (s + 1) & mask
-            self.keys[s], self.slot[s] = x, self.known
-            self.known += 1
-            self.used += len(ids)
+            self.keys[s], self.slot[s] = x, place
+
+    def _unlike(self, raw: np.ndarray, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Which slices are not, byte by byte, the pieces found for them."""
+        size = np.diff(at)
+        long = size != self.size[place]
+        to = np.repeat(self.begin[place] - at[:-1], size) + np.arange(len(raw))
+        off = np.flatnonzero(self.text.take(to, mode="clip") != raw)
+        return np.union1d(np.flatnonzero(long), np.searchsorted(at, off, "right") - 1)
 
     def pieces(self, col: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray]:
         """UTF-8 bytes of all texts, where pieces begin in them, and how many pieces came before each text."""
@@ -183,57 +214,111 @@ class Encoder:
         return cps.tobytes().decode("utf-32-le").encode(), np.append(ends[first], ends[-1]), count[off]
 
     def __call__(self, col: pa.Array) -> pa.ListArray:
+        return self.spans(col)[0]
+
+    def spans(self, col: pa.Array, ends_too: bool = False) -> tuple[pa.ListArray, pa.ListArray | None]:
+        """The ids of each text and, if asked for, how many of its bytes they and those before them take."""
         if self.known > _MOST_CACHED:
             self._fresh()
         raw, at, row = self.pieces(col)
-        h = self.hashes(np.frombuffer(raw, np.uint8), at)
+        data = np.frombuffer(raw, np.uint8)
+        h = self.hashes(data, at)
         place = self.find(h)
         new = np.flatnonzero(place < 0)
         if len(new):
             _, one = np.unique(h[new], return_index=True)
             self._add(h, raw, at, new[one])
             place[new] = self.find(h[new])
+        for i in self._unlike(data, at, place).tolist():
+            piece = raw[at[i] : at[i + 1]]
+            if piece not in self.twins:
+                self.twins[piece] = self._learn(piece)
+            place[i] = self.twins[piece]
         n = self.n_ids[place].astype(np.int64)
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.arange(total) + np.repeat(self.at[place] - ends + n, n)]
         cut = np.concatenate(([0], ends))[row]
-        return pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids))
+        cuts = pa.array(cut.astype(np.int32))
+        if not ends_too:
+            return pa.ListArray.from_arrays(cuts, pa.array(ids)), None
+        taken = np.concatenate(([0], np.cumsum(self.width[ids], dtype=np.int64)))
+        behind = taken[1:] - np.repeat(taken[cut[:-1]], np.diff(cut))
+        return pa.ListArray.from_arrays(cuts, pa.array(ids)), pa.ListArray.from_arrays(cuts, pa.array(behind))
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(name: str, data: bytes) -> Encoder:
+    if name not in _ENCODERS:
+        _ENCODERS[name] = Encoder(name, data)
+    return _ENCODERS[name]
 
 
-def encode(df: DataFrame, id_col: str, text_col: str, path: str | None = None) -> DataFrame:
-    """id_col and ids (array of int) of every row. path: the vocabulary file, as ranks."""
+def _vocabulary(spark: SparkSession, path: str | None) -> tuple[str, object]:
+    """(name, broadcast of the file): executors need not have it. A vocabulary is a file of bounded size, some MB."""
     path = path or default_vocabulary()
-    schema = T.StructType([df.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    with open(path, "rb") as f:
+        return os.path.basename(path), spark.sparkContext.broadcast(f.read())
+
+
+def encode(df: DataFrame, id_col: str, text_col: str, path: str | None = None, spans: bool = False) -> DataFrame:
+    """id_col and ids (array of int) of every row. path: the vocabulary file, as ranks, read by the driver.
+
+    spans: also ends (array of long), for each id how many of the text's UTF-8
+    bytes it and those before it take: ids[i] stands for bytes ends[i - 1] to
+    ends[i], from 0.
+    """
+    name, sent = _vocabulary(df.sparkSession, path)
+    more = [T.StructField("ends", T.ArrayType(T.LongType()))] if spans else []
+    schema = T.StructType([df.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType())), *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(name, sent.value)
         for b in batches:
             at = 0
             for part in pieces_of(b.column(1), 1 << 20):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), enc(part)], names=[id_col, "ids"])
+                ids, ends = enc.spans(part, spans)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), ids, *([ends] if spans else [])], names=schema.names)
                 at += len(part)
 
     return df.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def decoder(path: str | None = None):
-    """A column function: ids back to text, for ids of whole texts."""
-    path = path or default_vocabulary()
+class Decoder:
+    """Ids to bytes by one table of all ids' bytes."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        by_id = sorted((i, piece) for piece, i in ranks.items())
+        self.size = np.zeros(by_id[-1][0] + 2, np.int64)
+        self.size[[i for i, _ in by_id]] = [len(p) for _, p in by_id]
+        self.begin = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(p for _, p in by_id), np.uint8)
+
+    def __call__(self, lists: pa.Array) -> pa.Array:
+        """Bytes that are no UTF-8, as of ids cut out of a text, become replacement characters."""
+        off, ids = np.asarray(lists.offsets).astype(np.int64), np.asarray(lists.values)[lists.offsets[0].as_py() :]
+        off = off - off[0]
+        ids = ids[: off[-1]]
+        size = self.size[ids]
+        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
+        raw = self.bytes[np.repeat(self.begin[ids] - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+        null, cut = lists.is_null().to_pylist(), ends[off].tolist()
+        return pa.array([None if no else raw[a:b].decode("utf-8", "replace") for no, a, b in zip(null, cut, cut[1:], strict=False)], pa.string())
+
+
+_DECODERS: dict[str, Decoder] = {}
+
+
+def decoder(spark: SparkSession, path: str | None = None) -> Callable[[Column], Column]:
+    """A column function: ids back to text."""
+    name, sent = _vocabulary(spark, path)
 
     @F.arrow_udf("string")
     def to_text(ids: pa.Array) -> pa.Array:
-        with open(path, "rb") as f:
-            back = {int(b): base64.b64decode(a) for a, b in (line.split() for line in f if line.strip())}
-        return pa.array([None if x is None else b"".join(back[i] for i in x).decode("utf-8", "replace") for x in ids.to_pylist()], pa.string())
+        if name not in _DECODERS:
+            _DECODERS[name] = Decoder(read_ranks(sent.value))
+        return _DECODERS[name](ids)
 
     return to_text

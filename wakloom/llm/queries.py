@@ -56,6 +56,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.linked_pairs(splits.chapter_groups(table(spark, sf_dir, "stanza")))
 
 
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.members(splits.chapter_groups(table(spark, sf_dir, "stanza")))
+
+
 def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.split_rows(table(spark, sf_dir, "stanza"))
 
@@ -64,6 +68,10 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode.encode(table(spark, sf_dir, "documents"), "doc_id", "text", spans=True)
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "test_item"), table(spark, sf_dir, "documents"))
 
@@ -86,7 +94,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_terms, p2_found, p2_records, p2_current, p3_found, p3_forms, p4_found, p4_report, p5_found, p5_splits, p8_ids, p9_found, p9_documents, p10_found, p10_scores, p10_rates)
+    for f in (p1_found, p1_terms, p2_found, p2_records, p2_current, p3_found, p3_forms, p4_found, p4_report, p5_found, p5_groups, p5_splits, p8_ids, p8_spans, p9_found, p9_documents, p10_found, p10_scores, p10_rates)
 }
 
 _TERMS = """
