@@ -1,5 +1,6 @@
 import collections
 import datetime as dt
+import itertools
 import random
 
 import numpy as np
@@ -186,16 +187,35 @@ def test_chapter_pairs(spark):
     assert splits.split_rows(df.where("stanza_id < 0")).count() == 0
 
 
+def _rows(bundles, ends):
+    rows = {}
+    for (label, size, n), e in zip(bundles, ends, strict=True):
+        assert e[-1] == n and e == sorted(e)
+        for s, k in enumerate(np.diff([0, *e])):
+            rows[label, s] = rows.get((label, s), 0) + size * int(k)
+    return rows
+
+
 def test_allocation():
-    random.seed(7)
-    bundles = sorted({(f"l{random.randrange(5)}", random.randrange(1, 40), random.randrange(1, 30)) for _ in range(60)})
-    plan = flow.allocate(bundles, {"a": 0.8, "b": 0.1, "c": 0.1})
-    total, rows = sum(s * n for _, s, n in bundles), collections.Counter()
-    for (_, size, n), ends in zip(bundles, plan, strict=True):
-        assert ends == sorted(ends) and ends[-1] == n
-        for split, k in zip("abc", np.diff([0, *ends]), strict=True):
-            rows[split] += size * int(k)
-    assert abs(rows["a"] - 0.8 * total) <= 40 and abs(rows["b"] - 0.1 * total) <= 40
+    rng = random.Random(3)
+    shares = {"a": 0.8, "b": 0.1, "c": 0.1}
+    over = least = 0.0
+    for _ in range(40):  # few components of unlike sizes: near the best there is
+        sizes = [rng.randint(1, 100) for _ in range(8)]
+        bundles = [("", z, sizes.count(z)) for z in sorted(set(sizes))]
+        rows = _rows(bundles, flow.allocate(bundles, shares))
+        off = lambda have: sum(abs(x - sum(sizes) * q) for x, q in zip(have, shares.values(), strict=True)) / sum(sizes)
+        best = min(off([sum(z for z, w in zip(sizes, to, strict=True) if w == s) for s in range(3)]) for to in itertools.product(range(3), repeat=8))
+        got = off([rows.get(("", s), 0) for s in range(3)])
+        assert got <= best + 0.05
+        over, least = over + got, least + best
+    assert over <= 1.2 * least
+    bundles = [(f"s{i}", z, rng.randint(1, 30)) for i in range(6) for z in range(1, 40)]
+    rows = _rows(bundles, flow.allocate(bundles, shares))
+    for i in range(6):  # within labels too, as far as one component
+        whole = sum(z * n for x, z, n in bundles if x == f"s{i}")
+        assert all(abs(rows[f"s{i}", s] - whole * q) <= 40 for s, q in enumerate(shares.values()))
+    assert sum(abs(sum(rows[f"s{i}", s] for i in range(6)) - sum(z * n for _, z, n in bundles) * q) for s, q in enumerate(shares.values())) <= 2
     assert flow.allocate([], {"a": 1.0}) == []
 
 

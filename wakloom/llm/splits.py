@@ -3,14 +3,15 @@
 Chapters are linked through the lines they share at a seam: a chapter without
 its beginning names the line before it. Links run over a node for the seam
 itself, so a seam that many chapters share costs one link for each, not one for
-each pair. Components of one size and one story profile are interchangeable;
-they are counted in bundles, a min-cost flow gives each bundle's components to
-the splits, and which component goes where is decided by its hash.
+each pair. Components of one size and one story (the least of their stories)
+are interchangeable; they are counted in bundles, min-cost flows with costs for
+deviations from the quotas give each bundle's components to the splits, and
+which component goes where is decided by its hash.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakloom.llm.canon import look_alike
@@ -19,8 +20,6 @@ from wakloom.llm.flow import allocate
 from wakloom.session import settle
 
 SPLITS = {"train": 0.8, "validation": 0.1, "test": 0.1}
-MOST_BUNDLES = 20_000  # bundles on the driver; beyond it sizes are rounded to two figures, then stories merged
-_SLOTS = 256
 
 
 def seam_links(stanza: DataFrame) -> DataFrame:
@@ -53,6 +52,12 @@ def chapter_groups(stanza: DataFrame) -> DataFrame:
     return chapters.join(names, "root").select(F.col("node").alias("chapter"), F.col("name").alias("root"))
 
 
+def members(groups: DataFrame) -> DataFrame:
+    """chapter, root, n_chapters: the whole result without pairs, one row a linked chapter."""
+    sizes = groups.groupBy("root").agg(F.count("*").alias("n_chapters"))
+    return groups.join(sizes, "root").select("chapter", "root", "n_chapters")
+
+
 def linked_pairs(groups: DataFrame) -> DataFrame:
     """chapter_a, chapter_b: all pairs of chapters of one component."""
     a, b = groups.select("root", F.col("chapter").alias("chapter_a")), groups.select("root", F.col("chapter").alias("chapter_b"))
@@ -70,20 +75,11 @@ def assign_splits(stanza: DataFrame, shares: dict[str, float] | None = None, lab
     sizes = stanza.groupBy("chapter").agg(F.count("*").alias("n"), F.min(label).alias("label"))
     members = sizes.join(groups, "chapter", "left").withColumn("root", F.coalesce("root", "chapter", F.lit("")))
     parts = settle(members.groupBy("root").agg(F.sum("n").alias("size"), F.coalesce(F.min("label"), F.lit("")).alias("label")), "parts")
-    for digits, by_label in ((None, True), (2, True), (2, False), (1, False)):
-        size = F.col("size") if digits is None else _rounded(F.col("size"), digits)
-        keyed = parts.withColumn("bundle_size", size).withColumn("bundle_label", F.col("label") if by_label else F.lit(""))
-        counts = keyed.groupBy("bundle_size", "bundle_label").agg(F.count("*").alias("n"), F.sum("size").alias("rows"))
-        rows = counts.limit(MOST_BUNDLES + 1).collect()
-        if len(rows) <= MOST_BUNDLES:
-            break
-    else:
-        raise ValueError("too many kinds of components")
-    bundles = sorted((r.bundle_label, r.bundle_size, r.n) for r in rows)
+    keyed = parts.select("root", F.col("size").alias("bundle_size"), F.col("label").alias("bundle_label"))
+    # One row for each label and size: unlike sizes add up, so a label of n rows has no more than the root of 2 n of them.
+    bundles = sorted((r.bundle_label, r.bundle_size, r.n) for r in keyed.groupBy("bundle_size", "bundle_label").agg(F.count("*").alias("n")).collect())
     plan = allocate(bundles, shares)
     # Rank of a component within its bundle by hash: counts of hash slots first, so no bundle is sorted in one task.
-    from pyspark.sql import Window
-
     keyed = keyed.withColumn("h", F.xxhash64("root")).withColumn("slot", F.shiftrightunsigned("h", 56).cast("int"))
     key = ["bundle_label", "bundle_size"]
     slots = keyed.groupBy(*key, "slot").agg(F.count("*").alias("k"))
@@ -99,11 +95,6 @@ def assign_splits(stanza: DataFrame, shares: dict[str, float] | None = None, lab
     return members.join(roots, "root").select("chapter", "split")
 
 
-def _rounded(size, digits: int):
-    unit = F.pow(F.lit(10), F.greatest(F.length(size.cast("string")) - digits, F.lit(0))).cast("long")
-    return (size / unit).cast("long") * unit
-
-
 def split_rows(stanza: DataFrame, shares: dict[str, float] | None = None) -> DataFrame:
     """stanza_id, split: every row with the split of its chapter."""
     plan = assign_splits(stanza, shares)
