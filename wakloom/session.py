@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,10 +30,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the cluster names none, as in tests, one of our own."""
+    """The folder all executors share, as named in spark.checkpoint.dir.
+
+    Where none is named, a local session gets one of its own; a cluster's
+    executors would not see it, so there it is an error.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="wakloom-")
@@ -40,10 +47,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: a cut in the lineage that outlives executors."""
+    """Write df to the shared folder and read it back: a cut in the lineage that outlives executors.
+
+    The folder is deleted when the driver ends, as results may read it until
+    then; forget deletes it before.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/wakloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
     return spark.read.schema(df.schema).parquet(path)
 
 
