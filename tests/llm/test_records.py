@@ -269,7 +269,7 @@ def test_toxic_threshold_of_a_larger_table(spark, monkeypatch):
     for times in (1, 10):  # 30 toxic and 300 ordinary documents, and ten times as many
         docs = spark.range(330 * times).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"))
         marks = docs.select("doc_id", (F.col("doc_id") < 30 * times).cast("int").alias("toxic"))
-        _, mark, weight = toxic.labelled(docs, marks)
+        _, _, mark, weight = toxic.labelled(docs, marks)
         assert (mark.sum(), (~mark).sum(), weight) == (30, 60, 5.0)
         # Toxic ones score 1 to 30; of the ordinary ones one in 20 scores 20.
         score = np.where(mark, np.cumsum(mark), np.where(np.cumsum(~mark) % 20 == 0, 20, 0))

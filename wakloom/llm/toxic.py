@@ -1,9 +1,10 @@
 """Abusive, hateful and sexual passages by compression distance.
 
 A window of text that a dictionary of such passages shortens more than a
-dictionary of ordinary text does is near to them. Both zstandard dictionaries
-and the threshold are fitted on at most MOST_TOXIC and
-MOST_PLAIN labelled documents; the
+dictionary of ordinary text does is near to them. Two zstandard dictionaries
+are trained, one on the windows of the passages that make toxic documents
+toxic, one on the windows of ordinary ones; they and the threshold are fitted
+on whole texts of at most MOST_TOXIC and MOST_PLAIN labelled documents. The
 windows of every document are then compressed with both, whole texts, and the
 largest difference in bytes is the document's score.
 
@@ -30,14 +31,14 @@ from pyspark.sql import types as T
 
 from wakloom.llm.canon import cut, fold, pieces_of, to_points
 from wakloom.llm.grams import Index, distinct, rolling, row_hash
+from wakloom.session import forget, settle
 
 MOST_TOXIC, MOST_PLAIN = 1_500, 5_000  # labelled documents fitted on
-FEW = 4_000  # up to so many the threshold is tried on both halves
-FIT_POINTS = 20_000  # of each of them; scores are of whole texts
 WINDOW, STRIDE = 40, 20
 GRAM, SUPPORT, SURE = 6, 2, 4.0
 CITED = 12  # so many grams of passages in a row are a passage, fewer a word that may be cited
-DICT_BYTES = 110_000
+DICT_BYTES = 110_000  # of a trained dictionary at most
+TWICE, THRICE = 2, 3  # training keeps what recurs: passages count twice, ordinary windows that cite them thrice more
 LEVEL = 3
 
 # Signs and digits written for letters.
@@ -142,7 +143,7 @@ class Model:
             self._two = []
             for d in (self.toxic, self.plain):
                 params = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=WINDOW, dict_size=len(d), write_content_size=False, write_dict_id=False)
-                z = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                z = zstandard.ZstdCompressionDict(d)
                 z.precompute_compress(compression_params=params)
                 self._two.append(zstandard.ZstdCompressor(dict_data=z, compression_params=params))
         return self._two
@@ -215,24 +216,24 @@ def passages(raw: np.ndarray, off: np.ndarray, toxic: np.ndarray) -> tuple[list[
     return [raw[b : e + GRAM - 1].tobytes() for b, e in zip(begin[long].tolist(), end[long].tolist(), strict=True)], hot_keys
 
 
-def _pack(parts: list[bytes], most: int = DICT_BYTES) -> bytes:
-    """Distinct parts, the most frequent last, where matches cost least."""
-    from collections import Counter
+def _train(samples: list[bytes]) -> bytes:
+    """A dictionary of what recurs in the samples. Too few to train on are the dictionary themselves."""
+    try:
+        return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)
 
-    out, size = [], 0
-    for p, _ in sorted(Counter(parts).items(), key=lambda x: (-x[1], x[0])):
-        if size + len(p) > most:
-            break
-        out.append(p)
-        size += len(p)
-    return b"".join(reversed(out))
+
+def _cuts(raw: np.ndarray, off: np.ndarray) -> list[bytes]:
+    text, (_, start, length) = raw.tobytes(), windows(off)
+    return [text[a : a + n] for a, n in zip(start.tolist(), length.tolist(), strict=True)]
 
 
 def _dictionaries(raw: np.ndarray, off: np.ndarray, toxic: np.ndarray) -> Model:
     bad, hot = passages(raw, off, toxic)
-    # Ordinary text: what holds grams of the passages, as where words are cited, then any. Where a text labelled
-    # ordinary holds them in a long run, its label is wrong; the run is left out of the ordinary text.
-    grams, row = _grams(raw, off)
+    # Where a text labelled ordinary holds grams of the passages in a long run, its label is wrong; the run is left out
+    # of the ordinary text. Shorter ones are words that are cited.
+    grams, _ = _grams(raw, off)
     at, _ = hot.find(grams)
     plain = ~np.repeat(toxic, np.diff(off))
     mark = np.zeros(len(raw) + 2, bool)
@@ -242,43 +243,35 @@ def _dictionaries(raw: np.ndarray, off: np.ndarray, toxic: np.ndarray) -> Model:
     run = end - begin >= CITED
     for b, e in zip(begin[run].tolist(), end[run].tolist(), strict=True):
         plain[b : e + GRAM - 1] = False
-    at = at[plain[at]]
-    blocks = np.unique(np.concatenate([at // WINDOW + d for d in (-1, 0, 1)])) if len(at) else np.zeros(0, np.int64)
-    cited, need = [], DICT_BYTES // 2
-    for w in blocks[blocks >= 0].tolist():
-        part = slice(w * WINDOW, (w + 1) * WINDOW)
-        cited.append(raw[part][plain[part]].tobytes())
-        need -= len(cited[-1])
-        if need <= 0:
-            break
-    rest, need = [], DICT_BYTES - sum(map(len, cited))
-    for r in np.flatnonzero(~toxic).tolist():
-        if need <= 0:
-            break
-        part = slice(off[r], min(off[r + 1], off[r] + need))
-        rest.append(raw[part][plain[part]].tobytes())
-        need -= len(rest[-1])
-    return Model(_pack(bad), b"".join(rest + cited))
-
-
-def fit(texts: list[str], toxic: np.ndarray, weight: float = 1.0) -> Model:
-    """Dictionaries of all labelled texts; the threshold from texts the dictionaries did not see.
+    kept, kept_off = cut(raw, off, plain)
+    place = np.cumsum(plain) - 1
+    cites = np.zeros(len(kept) + 1, np.int64)
+    cites[place[at[plain[at]]] + 1] = 1
+    cites = np.cumsum(cites)
+    _, start, length = windows(kept_off)
+    ordinary = _cuts(kept, kept_off)
+    cited = [ordinary[i] for i in np.flatnonzero(cites[start + length] > cites[start]).tolist()]
+    sizes = np.concatenate((np.zeros(1, np.int64), np.cumsum([len(p) for p in bad], dtype=np.int64)))
+    parts = _cuts(np.frombuffer(b"".join(bad), np.uint8), sizes)
+    return Model(_train((bad + parts) * TWICE) if bad else b"", _train(ordinary + cited * THRICE))
+
+
+def fit(raw: np.ndarray, off: np.ndarray, toxic: np.ndarray, weight: float = 1.0) -> Model:
+    """Dictionaries of all labelled texts (spelled); the threshold from texts the dictionaries did not see: of each half by those of the other.
 
     weight: how many ordinary labelled texts one of those given stands for, for each toxic one a toxic one stands for.
     """
     toxic = np.asarray(toxic, bool)
     if not toxic.any() or toxic.all():
         return Model()
-    raw, off = spelled(pa.array(texts, pa.string()))
     half = np.arange(len(toxic)) % 2 == 0
     score = np.zeros(len(toxic), np.int64)
-    for part in (half, ~half) if len(toxic) < FEW else (half,):
+    for part in (half, ~half):
         if toxic[part].any() and not toxic[part].all():
             model = _dictionaries(*cut_rows(raw, off, part), toxic[part])
             score[~part] = model.scores(*cut_rows(raw, off, ~part))
-    tried = np.ones(len(toxic), bool) if len(toxic) < FEW else ~half
     model = _dictionaries(raw, off, toxic)
-    model.threshold = best_threshold(score[tried], toxic[tried], weight)
+    model.threshold = best_threshold(score, toxic, weight)
     return model
 
 
@@ -295,16 +288,32 @@ def cut_rows(raw: np.ndarray, off: np.ndarray, rows: np.ndarray) -> tuple[np.nda
     return raw[np.repeat(rows, size)], np.concatenate(([0], np.cumsum(size[rows])))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[list[str], np.ndarray, float]:
-    """Texts and marks of at most MOST_TOXIC and MOST_PLAIN labelled documents, first by hash, and the weight of a plain one against a toxic one."""
-    marks = labels.where("toxic is not null").groupBy(doc_id).agg((F.avg("toxic") > 0.5).alias("_toxic"), F.avg("toxic").alias("_mean")).where("_mean <> 0.5").drop("_mean")
+def labelled(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Whole texts, spelled, and marks of at most MOST_TOXIC and MOST_PLAIN labelled documents, first by hash, and the weight of a plain one against a toxic one."""
+    mean = labels.where("toxic is not null").groupBy(doc_id).agg(F.avg("toxic").alias("_mean")).where("_mean <> 0.5")
+    marks = settle(mean.select(doc_id, (F.col("_mean") > 0.5).alias("_toxic")), "labels")
     n = {r._toxic: r.n for r in marks.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64(doc_id), F.col(doc_id)]
     chosen = marks.where("_toxic").orderBy(*order).limit(MOST_TOXIC).unionAll(marks.where("not _toxic").orderBy(*order).limit(MOST_PLAIN))
-    # At most MOST_TOXIC + MOST_PLAIN rows.
-    rows = docs.select(doc_id, text).where(F.col(text).isNotNull()).join(F.broadcast(chosen), doc_id).select(doc_id, F.left(text, F.lit(FIT_POINTS)).alias("t"), "_toxic").toArrow()
-    got = sorted(zip(*(rows.column(c).to_pylist() for c in (doc_id, "t", "_toxic")), strict=True), key=lambda x: x[0])
-    return [t for _, t, _ in got], np.array([m for _, _, m in got], bool), max(1.0, n.get(False, 0) / MOST_PLAIN) / max(1.0, n.get(True, 0) / MOST_TOXIC)
+    # At most MOST_TOXIC + MOST_PLAIN rows. Their texts come to the driver spelled, one byte a letter.
+    rows = docs.select(doc_id, text).where(F.col(text).isNotNull()).join(F.broadcast(chosen), doc_id)
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = 0
+            for part in pieces_of(b.column(1), 1 << 20):
+                raw, off = spelled(part)
+                texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), texts, b.column(2).slice(at, len(part))], names=[doc_id, "t", "_toxic"])
+                at += len(part)
+
+    schema = T.StructType([docs.schema[doc_id], T.StructField("t", T.BinaryType()), T.StructField("_toxic", T.BooleanType())])
+    got = rows.select(doc_id, text, "_toxic").mapInArrow(spell, schema).toArrow().sort_by(doc_id)
+    forget(marks)
+    texts = got.column("t").to_pylist()
+    off = np.concatenate((np.zeros(1, np.int64), np.cumsum([len(t) for t in texts], dtype=np.int64)))
+    weight = max(1.0, n.get(False, 0) / MOST_PLAIN) / max(1.0, n.get(True, 0) / MOST_TOXIC)
+    return np.frombuffer(b"".join(texts), np.uint8), off, np.array(got.column("_toxic").to_pylist(), bool), weight
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
