@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wakloom.session import settle
+
 _QUOTE, _COMMA, _CR, _LF = 34, 44, 13, 10
 BLANKS = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
 QUEUE_FIELDS = ("wak", "syllables", "flag", "guess", "a", "b", "c")
@@ -123,7 +125,7 @@ def load_review(df: DataFrame, key: str = "raw_id", line: str = "line") -> tuple
 
     key must tell records apart. Every record comes out in exactly one of the two.
     """
-    rows = parsed(df, line, len(QUEUE_FIELDS), [key])
+    rows = settle(parsed(df, line, len(QUEUE_FIELDS), [key]), "parsed")  # parsed once, read by what follows
     named = rows.where("_fault is null").select(key, *[F.col("_fields")[i].alias(f) for i, f in enumerate(QUEUE_FIELDS)])
     names, empty = ["kind", "v0", "v1", "v2", "v3"], F.lit("")
     cell = lambda *parts: F.struct(*[p.alias(n) for n, p in zip(names, parts, strict=True)])
