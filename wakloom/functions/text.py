@@ -51,6 +51,23 @@ def lines_of_poem(c: Column | str) -> Column:
     return F.when(fits, strong).when(F.size(spaced) > 0, spaced).otherwise(strong)
 
 
+def lines_of_editor(c: Column | str) -> Column:
+    """Lines of an editor: by line ends only, empty ones left out."""
+    return F.filter(F.transform(F.split(col(c), "\r\n?|\n"), strip), lambda x: x != "")
+
+
+def html_escaped(c: Column | str) -> Column:
+    out = col(c)
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(sign), F.lit(name))
+    return out
+
+
+def find_from(c: Column | str, part: str, start: int) -> Column:
+    """The first place of part at start or behind it, from 1; 0 where there is none."""
+    return F.locate(part, col(c), start)
+
+
 def words_of(c: Column | str) -> Column:
     return F.filter(F.split(col(c), r"\s+"), lambda x: x != "")
 

@@ -41,9 +41,9 @@ def rel_pricing_summary(spark, sf_dir):
 
 
 @query("""SELECT n_name, sum(l_extendedprice::DECIMAL(18,4))::DOUBLE AS revenue, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-WHERE o_orderdate >= TIMESTAMP '1994-01-01' AND o_orderdate < TIMESTAMP '1995-01-01' GROUP BY n_name""")
+WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' GROUP BY n_name""")
 def rel_star_join(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderdate >= timestamp_ntz '1994-01-01' and o_orderdate < timestamp_ntz '1995-01-01'").select("o_orderkey", "o_custkey")
+    o = table(spark, sf_dir, "orders").where("o_orderdate >= timestamp_ntz '1996-01-01' and o_orderdate < timestamp_ntz '1997-01-01'").select("o_orderkey", "o_custkey")
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -60,12 +60,12 @@ def rel_semi_anti(spark, sf_dir):
 
 
 @query("""WITH d AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k, lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before, sum(o_totalprice::DECIMAL(18,4)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS run FROM orders)
-SELECT o_orderkey, k, date_diff('day', before::DATE, o_orderdate::DATE) AS gap, run::DOUBLE AS running FROM d WHERE k <= 5""")
+SELECT o_orderkey, k, date_diff('day', before::DATE, o_orderdate::DATE) AS gap, run::DOUBLE AS running FROM d""")
 def rel_running_totals(spark, sf_dir):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
     o = o.withColumns({"k": F.row_number().over(w), "before": F.lag("o_orderdate").over(w), "running": F.sum(money("o_totalprice")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("double")})
-    return o.where("k <= 5").select("o_orderkey", "k", F.datediff(F.to_date("o_orderdate"), F.to_date("before")).alias("gap"), "running")
+    return o.select("o_orderkey", "k", F.datediff(F.to_date("o_orderdate"), F.to_date("before")).alias("gap"), "running")
 
 
 @query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 6 HOURS THEN 0 ELSE 1 END AS opens FROM events), s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g)

@@ -28,14 +28,14 @@ def query(sql: str | None = None):
     return register
 
 
-def _lines(spark, sf_dir):
+def lines_of(spark, sf_dir):
     chapters = table(spark, sf_dir, "documents").where("form = 'chapter' and text is not null")
     return structure.chapter_lines(chapters, "doc_id", "text")
 
 
 # Lines with their anchors, as the SQL below all needs them.
 _EDGE = r"[\t\n\v\f\r \x{1c}-\x{1f}\x{85}\p{Z}]"
-_LINES = (
+LINES_SQL = (
     r"""WITH cell AS (SELECT doc_id AS chapter, unnest(regexp_split_to_array(text, '[\t\r\n]+')) AS raw, generate_subscripts(regexp_split_to_array(text, '[\t\r\n]+'), 1) AS cell
   FROM documents WHERE form = 'chapter' AND text IS NOT NULL),
 part AS (SELECT chapter, cell, contains(raw, '๏') AS anchor, regexp_replace(regexp_replace(raw, '[๏ฯ]', '', 'g'), '^EDGE+|EDGE+$', '', 'g') AS line FROM cell),
@@ -49,28 +49,28 @@ sect AS (SELECT *, row_number() OVER (PARTITION BY chapter, section ORDER BY pos
 ).replace("EDGE", _EDGE)
 
 
-@query(_LINES + "SELECT chapter, pos, line, anchor FROM line")
+@query(LINES_SQL + "SELECT chapter, pos, line, anchor FROM line")
 def src_chapter_lines(spark, sf_dir):
-    return _lines(spark, sf_dir)
+    return lines_of(spark, sf_dir)
 
 
-@query(_LINES + "SELECT chapter, section, min(pos) AS start, count(*) AS n_lines, count(*) % 4 = 0 AS whole FROM sect WHERE section IS NOT NULL GROUP BY chapter, section")
+@query(LINES_SQL + "SELECT chapter, section, min(pos) AS start, count(*) AS n_lines, count(*) % 4 = 0 AS whole FROM sect WHERE section IS NOT NULL GROUP BY chapter, section")
 def win_sections(spark, sf_dir):
-    return structure.section_sizes(_lines(spark, sf_dir))
+    return structure.section_sizes(lines_of(spark, sf_dir))
 
 
-@query(_LINES + """, body AS (SELECT *, place - size % 4 AS k FROM sect WHERE section IS NOT NULL AND size % 4 IN (0, 3) AND place >= size % 4)
+@query(LINES_SQL + """, body AS (SELECT *, place - size % 4 AS k FROM sect WHERE section IS NOT NULL AND size % 4 IN (0, 3) AND place >= size % 4)
 SELECT chapter, section, (k // 4)::INT AS stanza, max(line) FILTER (k % 4 = 0) AS w1, max(line) FILTER (k % 4 = 1) AS w2, max(line) FILTER (k % 4 = 2) AS w3, max(line) FILTER (k % 4 = 3) AS w4
 FROM body GROUP BY chapter, section, k // 4 HAVING count(*) = 4""")
 def win_training_stanzas(spark, sf_dir):
-    return structure.stanzas_in_sections(_lines(spark, sf_dir))
+    return structure.stanzas_in_sections(lines_of(spark, sf_dir))
 
 
-@query(_LINES + """, c AS (SELECT *, max(CASE WHEN section = 0 AND size % 4 = 3 THEN 3 ELSE 0 END) OVER (PARTITION BY chapter) AS cut FROM sect), body AS (SELECT *, pos - cut AS k FROM c WHERE pos >= cut)
+@query(LINES_SQL + """, c AS (SELECT *, max(CASE WHEN section = 0 AND size % 4 = 3 THEN 3 ELSE 0 END) OVER (PARTITION BY chapter) AS cut FROM sect), body AS (SELECT *, pos - cut AS k FROM c WHERE pos >= cut)
 SELECT chapter, (k // 4)::INT AS stanza, max(line) FILTER (k % 4 = 0) AS w1, max(line) FILTER (k % 4 = 1) AS w2, max(line) FILTER (k % 4 = 2) AS w3, max(line) FILTER (k % 4 = 3) AS w4
 FROM body GROUP BY chapter, k // 4 HAVING count(*) = 4""")
 def win_eval_stanzas(spark, sf_dir):
-    return structure.stanzas_of_chapters(_lines(spark, sf_dir))
+    return structure.stanzas_of_chapters(lines_of(spark, sf_dir))
 
 
 @query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY "row", stanza_id) AS pos, w1 IS NOT NULL AND w2 IS NOT NULL AND w3 IS NOT NULL AND w4 IS NOT NULL AND prev_w4 IS NOT NULL AS sound FROM stanza),
