@@ -61,7 +61,9 @@ def test_current_values(spark):
     rows += [(100, MAIN, "x", None, None, 1, "new", None), (101, MAIN, "x", None, None, 1, "old", D[2]), (102, MAIN, "y", None, None, 1, None, D[2]), (103, MAIN, "z", None, None, 1, "odd", None)]
     got = {r.group_id: r.value for r in survivors.current_values(spark.createDataFrame([(*r, "") for r in rows], ENTRY), "note").collect()}
     assert got == {10 * k: "new" for k in range(6)} | {100: "new", 103: "odd"}
-    assert survivors.levels({"a": {"b"}, "b": {"c"}, "c": {"b"}, "d": set()}) == {"a": 0, "b": 1, "c": 1, "d": 0}
+    steps = spark.createDataFrame([(f"g{i}", v, D[k]) for i in range(3) for k, v in enumerate(("a", "b", "c"))] + [("h", "b", D[1]), ("h", "a", D[2])], "look string, value string, first_at timestamp_ntz")
+    assert {tuple(r) for r in survivors.learn_steps(steps).collect()} == {("a", "b"), ("b", "c")}
+    assert survivors.current_values(spark.createDataFrame([], ENTRY), "note").count() == 0
 
 
 LINES = "w1 string, w2 string, w3 string, w4 string"

@@ -31,7 +31,9 @@ def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return survivors.current_values(table(spark, sf_dir, "override_entry"), "note")
+    entries = table(spark, sf_dir, "override_entry")
+    one = lambda f: survivors.current_values(entries, f).select("group_id", F.lit(f).alias("field"), "value")
+    return one("syllables").unionAll(one("ipa")).unionAll(one("note"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,11 @@ best value of every field are plain maxima: partial sums on the map side, one
 shuffle, no group ever held as a list, even where one group is a third of all.
 
 Currency reasoning (current_values) serves records without a date: which value
-follows which is learned from dated records of all groups, and a group's
-current value is one that no other value of the group follows.
+follows which is learned from dated records of all groups and kept as a table
+of steps; joined with a group's values it gives the group's partial order, and
+the current value is one that no other value of the group follows. No group is
+listed and nothing is learned on the driver, so a field may have any number of
+values.
 """
 
 from __future__ import annotations
@@ -16,10 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wakloom.llm.canon import look_alike
+from wakloom.operators.ranking import global_rank, with_neighbour
+from wakloom.session import settle
 
 # The dictionaries, most trusted first.
 DICTIONARIES = ("poetry_overrides", "poetry_overrides_base", "poetry_overrides_generated_lenient")
-MOST_VALUES = 1000  # of a field that current_values may order; the learned order is kept on the driver
 
 
 def missing(df: DataFrame, name: str) -> Column:
@@ -56,87 +60,41 @@ def survivors(entries: DataFrame, fields: tuple[str, ...] = ("syllables", "ipa",
     return groups.select("group_id", (-F.col("_best._rank.id")).alias("survivor_id"), "n_entries", F.col("_best.word").alias("word"), *values)
 
 
-def learn_order(seen: DataFrame, support: int = 2) -> dict[str, int]:
-    """Level of each value: a value lies above those it follows more often than it precedes them.
+def learn_steps(seen: DataFrame, support: int = 2) -> DataFrame:
+    """older, newer: values of which one follows the other in at least support groups, and in more than the other way round.
 
-    seen: one row per group and value with the date it was first seen. Values
-    on a cycle share a level.
+    seen: look, value, first_at; one row per group and value. A step is a pair
+    of values next to each other by date in a group.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("look").orderBy("first_at", "value")
-    steps = seen.where("first_at is not null").select(F.lag("value").over(w).alias("a"), F.col("value").alias("b")).where("a is not null").groupBy("a", "b").agg(F.count("*").alias("n"))
-    rows = steps.limit(MOST_VALUES * MOST_VALUES + 1).collect()  # at most one row per pair of values, of which there are MOST_VALUES
-    n = {(r.a, r.b): r.n for r in rows}
-    values = {v for ab in n for v in ab}
-    if len(values) > MOST_VALUES:
-        raise ValueError(f"more than {MOST_VALUES} values to order")
-    after = {v: {b for (a, b), k in n.items() if a == v and k >= support and k > n.get((b, a), 0)} for v in values}
-    return levels(after)
-
-
-def levels(after: dict[str, set[str]]) -> dict[str, int]:
-    """Longest way to each value in the order with its cycles shrunk to points."""
-    index: dict[str, int] = {}
-    low: dict[str, int] = {}
-    stack: list[str] = []
-    part: dict[str, int] = {}
-    groups: list[list[str]] = []
-    for root in sorted(after):
-        work = [(root, iter(sorted(after[root])))] if root not in index else []
-        if work:
-            index[root] = low[root] = len(index)
-            stack.append(root)
-        while work:
-            v, it = work[-1]
-            for u in it:
-                if u not in index:
-                    index[u] = low[u] = len(index)
-                    stack.append(u)
-                    work.append((u, iter(sorted(after[u]))))
-                    break
-                if u not in part:
-                    low[v] = min(low[v], index[u])
-            else:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
-                if low[v] == index[v]:
-                    group = []
-                    while not group or group[-1] != v:
-                        group.append(stack.pop())
-                        part[group[-1]] = len(groups)
-                    groups.append(group)
-    level = [0] * len(groups)
-    for g in reversed(range(len(groups))):  # groups come out sinks first
-        for v in groups[g]:
-            for u in after[v]:
-                if part[u] != g:
-                    level[part[u]] = max(level[part[u]], level[g] + 1)
-    return {v: level[part[v]] for v in part}
+    dated = seen.where("first_at is not null").select("look", "first_at", "value")
+    ranked = global_rank(dated, ["look", "first_at", "value"], "_at")  # not a window: a group may hold a third of all rows
+    pairs = with_neighbour(ranked, "_at", ["look"], {"before": "value"}, -1).where("before is not null")
+    steps = pairs.groupBy(F.col("before").alias("older"), F.col("value").alias("newer")).agg(F.count("*").alias("n"))
+    back = steps.select(F.col("newer").alias("older"), F.col("older").alias("newer"), F.col("n").alias("m"))
+    return steps.join(back, ["older", "newer"], "left").where((F.col("n") >= support) & (F.col("n") > F.coalesce("m", F.lit(0)))).select("older", "newer")
 
 
 def current_values(entries: DataFrame, field: str, support: int = 2) -> DataFrame:
-    """group_id, value: of each group the current value of a field of few distinct values.
+    """group_id, value (as text): of each group the current value of a field.
 
-    Dated values follow each other by date. Where one of two has no date, the
-    learned order decides. Among values that nothing follows, the later dated,
-    then the smaller text is taken. Groups without any value are left out.
+    Dated values follow each other by date. Where one of two has no date, a
+    learned step from one to the other decides (steps, not chains of steps).
+    Among values that nothing follows, the later dated, then the smaller text
+    is taken; where each is followed by another, among all. Groups without any
+    value are left out.
     """
-    rows = entries.select("entry_id", look_alike("word").alias("look"), F.when(~missing(entries, field), F.col(field)).cast("string").alias("value"), "updated_at")
-    rows = rows.where("look <> ''")
-    seen = rows.groupBy("look", "value").agg(F.min("updated_at").alias("first_at"), F.max("updated_at").alias("last_at"), F.min("entry_id").alias("id"))
-    order = learn_order(seen.where("value is not null"), support)
-    level = F.create_map(*[F.lit(x) for kv in sorted(order.items()) for x in kv]) if order else F.create_map().cast("map<string,int>")
-    known = seen.withColumn("level", F.coalesce(F.try_element_at(level, F.col("value")), F.lit(0)))
-    # A group has at most MOST_VALUES values, so its list is bounded.
-    groups = known.groupBy("look").agg(F.min("id").alias("group_id"), F.collect_list(F.when(F.col("value").isNotNull(), F.struct("value", "last_at", "level"))).alias("all"))
-
-    def follows(u: Column, v: Column) -> Column:
-        dated = u.last_at.isNotNull() & v.last_at.isNotNull()
-        return F.when(dated, u.last_at > v.last_at).otherwise(u.level > v.level)
-
-    open_ = F.filter("all", lambda v: ~F.exists("all", lambda u: follows(u, v)))
-    pick = F.when(F.size(open_) > 0, open_).otherwise(F.col("all"))
-    best = F.array_sort(pick, lambda a, b: F.when(a.last_at.eqNullSafe(b.last_at), F.when(a.value < b.value, -1).when(a.value > b.value, 1).otherwise(0)).when(b.last_at.isNull() | (a.last_at > b.last_at), -1).otherwise(1))
-    return groups.where("size(all) > 0").select("group_id", best[0].value.alias("value"))
+    value = F.col(field) if isinstance(entries.schema[field].dataType, T.StringType) else F.to_json(F.struct(field)) if isinstance(entries.schema[field].dataType, T.ArrayType) else F.col(field).cast("string")
+    rows = entries.select("entry_id", look_alike("word").alias("look"), F.when(~missing(entries, field), value).alias("value"), "updated_at").where("look <> ''")
+    ids = rows.groupBy("look").agg(F.min("entry_id").alias("group_id"))
+    seen = settle(rows.where("value is not null").groupBy("look", "value").agg(F.min("updated_at").alias("first_at"), F.max("updated_at").alias("last_at")), "seen")
+    steps = learn_steps(seen, support)
+    latest = seen.groupBy("look").agg(F.max("last_at").alias("latest"))
+    # A dated value is followed by a later dated one; beside that a value by one that a learned step leads to, if one of both has no date.
+    mine = seen.join(latest, "look").withColumn("late", F.coalesce(F.col("last_at") < F.col("latest"), F.lit(False)))
+    to = seen.join(steps, F.col("value") == F.col("older")).select("look", F.col("older").alias("value"), F.col("newer"), F.col("last_at").isNull().alias("open"))
+    newer = seen.select("look", F.col("value").alias("newer"), F.col("last_at").isNull().alias("open2"))
+    followed = to.join(newer, ["look", "newer"]).where("open or open2").select("look", "value").distinct().withColumn("step", F.lit(True))
+    known = mine.join(followed, ["look", "value"], "left").withColumn("free", ~F.col("late") & F.col("step").isNull())
+    # The best by: nothing follows it, later date (none: last), smaller text.
+    free = known.groupBy("look").agg(F.min(F.struct((~F.col("free")).alias("a"), F.col("last_at").isNull().alias("b"), (-F.unix_micros(F.col("last_at").cast("timestamp"))).alias("c"), F.col("value").alias("v"))).alias("best"))
+    return free.join(ids, "look").select("group_id", F.col("best.v").alias("value"))

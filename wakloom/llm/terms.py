@@ -1,14 +1,19 @@
 """How often every distinct term occurs, and in how many records.
 
-Each block of records is dictionary-encoded by itself and counted in arrays;
-only one row per block and term is shuffled, however hot a term is. The global
-dictionary is spread over identifier ranges: a term's range comes from its
-hash, its place in the range from the order of terms, so identifiers are the
-same in every run. Count arrays of the blocks are added up range by range.
+First a global dictionary is made: every block of records gives its distinct
+terms, these are spread over partitions by hash and numbered there in their
+order, so a term has the same identifier in every run. Then the blocks are
+encoded by it and counted in arrays: for each range of RANGE identifiers, which
+of them the block holds, how often and in how many records. Only these arrays
+meet, and are added range by range into one dense array. Marks are made on
+identifiers; terms come back from the dictionary at the end.
+
+However hot a term is, a block passes it on once. A term repeated inside a
+record counts once for records.
 
 Defined results: null and empty terms are left out, also inside arrays; null
-and empty arrays hold no term. Terms are compared byte by byte as stored. A
-term repeated inside a record counts once for records. Nothing is capped.
+and empty arrays hold no term. Terms are compared byte by byte as stored.
+Nothing is capped.
 """
 
 from __future__ import annotations
@@ -21,6 +26,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wakloom.session import settle
+
+RANGE = 1 << 16  # identifiers whose counts make one array
 _BLOCK_TERMS = 400_000  # distinct terms held before a block's counts are passed on
 
 
@@ -56,33 +64,66 @@ def block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _sum(parts).to_batches()
 
 
-def range_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Block counts of one identifier range, sorted by term, to sums with identifiers."""
+def number_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted terms of one partition, repeats side by side, to identifiers."""
     from pyspark import TaskContext
 
-    base, next_id, open_term = TaskContext.get().partitionId() << 40, 0, None
-    open_occ = open_rec = 0
+    base, known, before = TaskContext.get().partitionId() << 40, 0, None
+    for b in batches:
+        terms = b.column(0).dictionary_encode().dictionary  # sorted rows: in their order, each once
+        if len(terms) and terms[0].as_py() == before:
+            terms = terms[1:]
+        if len(terms):
+            before = terms[-1].as_py()
+            yield pa.RecordBatch.from_arrays([terms, pa.array(base + known + np.arange(len(terms)))], names=["term", "term_id"])
+            known += len(terms)
+
+
+def dictionary_of(blocks: DataFrame) -> DataFrame:
+    """term, term_id: every distinct term with its global identifier, written down."""
+    n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return settle(blocks.select("term").repartition(n, "term").sortWithinPartitions("term").mapInArrow(number_terms, "term string, term_id long"), "dictionary")
+
+
+def count_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term_id, n_occ, n_rec) to arrays for each range of identifiers: place in the range, counts."""
+    for b in batches:
+        ids, occ, rec = (np.asarray(c).astype(np.int64) for c in b.columns)
+        order = np.argsort(ids, kind="stable")
+        ids, occ, rec = ids[order], occ[order], rec[order]
+        if len(ids):  # blocks that met in the join: an identifier once
+            first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            ids, occ, rec = ids[first], np.add.reduceat(occ, first), np.add.reduceat(rec, first)
+        part = ids // RANGE
+        cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(ids)) if len(ids) else np.zeros(1, np.int64)
+        lists = [pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(x)) for x in (ids % RANGE, occ, rec)]
+        yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]]), *lists], names=["range", "at", "n_occ", "n_rec"])
+
+
+def sum_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrays sorted by range, added into one dense array for the range that is open."""
+    open_, sums = None, np.zeros((2, RANGE), np.int64)
+
+    def done() -> pa.RecordBatch:
+        at = np.flatnonzero(sums[0])
+        return pa.RecordBatch.from_arrays([pa.array(open_ * RANGE + at), pa.array(sums[0, at]), pa.array(sums[1, at])], names=["term_id", "n_occ", "n_rec"])
+
     for b in batches:
-        if not b.num_rows:
-            continue
-        coded = b.column(0).dictionary_encode()  # sorted rows: codes rise with the terms
-        code, n = np.asarray(coded.indices).astype(np.int64), len(coded.dictionary)
-        occ = np.bincount(code, np.asarray(b.column(1)), n).astype(np.int64)
-        rec = np.bincount(code, np.asarray(b.column(2)), n).astype(np.int64)
-        terms = coded.dictionary
-        if open_term is not None:
-            if terms[0].as_py() == open_term:
-                occ[0] += open_occ
-                rec[0] += open_rec
-            else:
-                terms = pa.concat_arrays([pa.array([open_term], terms.type), terms])
-                occ, rec = np.append(open_occ, occ), np.append(open_rec, rec)
-        open_term, open_occ, open_rec = terms[-1].as_py(), int(occ[-1]), int(rec[-1])
-        ids = base + next_id + np.arange(len(terms) - 1)
-        next_id += len(ids)
-        yield pa.RecordBatch.from_arrays([terms[:-1], pa.array(ids), pa.array(occ[:-1]), pa.array(rec[:-1])], names=["term", "term_id", "n_occ", "n_rec"])
-    if open_term is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([open_term]), pa.array([base + next_id]), pa.array([open_occ]), pa.array([open_rec])], names=["term", "term_id", "n_occ", "n_rec"])
+        ranges = np.asarray(b.column(0))
+        lists = [b.column(i) for i in (1, 2, 3)]
+        off = np.asarray(lists[0].offsets)
+        at, occ, rec = (np.asarray(x.values) for x in lists)
+        for i, r in enumerate(ranges.tolist()):
+            if r != open_:
+                if open_ is not None:
+                    yield done()
+                open_ = r
+                sums[:] = 0
+            s = slice(off[i], off[i + 1])  # an array has a place once
+            sums[0, at[s]] += occ[s]
+            sums[1, at[s]] += rec[s]
+    if open_ is not None:
+        yield done()
 
 
 def term_frequency(df: DataFrame, column: str, src: str, rare_max: int = 2, common_percent: int = 1) -> DataFrame:
@@ -93,15 +134,18 @@ def term_frequency(df: DataFrame, column: str, src: str, rare_max: int = 2, comm
     """
     one = F.col(column) if df.schema[column].dataType.typeName() == "array" else F.array(column)
     records = df.select(one.alias("terms"))
-    blocks = records.mapInArrow(block_counts, "term string, n_occ long, n_rec long")
+    blocks = settle(records.mapInArrow(block_counts, "term string, n_occ long, n_rec long"), "blocks")
+    known = dictionary_of(blocks)
+    encoded = blocks.join(known, "term").select("term_id", "n_occ", "n_rec")
+    arrays = encoded.mapInArrow(count_arrays, "range long, at array<long>, n_occ array<long>, n_rec array<long>")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = blocks.repartition(n, "term").sortWithinPartitions("term")
-    counts = ranges.mapInArrow(range_counts, "term string, term_id long, n_occ long, n_rec long")
+    sums = arrays.repartition(n, "range").sortWithinPartitions("range").mapInArrow(sum_arrays, "term_id long, n_occ long, n_rec long")
     total = records.agg(F.count_if(F.exists("terms", lambda t: F.length(t) > 0)).alias("n_records")).withColumn("src", F.lit(src))
     # total is one row, whatever the size of df.
-    return counts.withColumn("src", F.lit(src)).join(F.broadcast(total), "src").select(
-        "src", "term", "term_id", "n_occ", "n_rec", "n_records", (F.col("n_occ") <= rare_max).alias("is_rare"), (F.col("n_rec") * 100 > F.col("n_records") * common_percent).alias("is_common")
+    counts = sums.withColumn("src", F.lit(src)).join(F.broadcast(total), "src").select(
+        "src", "term_id", "n_occ", "n_rec", "n_records", (F.col("n_occ") <= rare_max).alias("is_rare"), (F.col("n_rec") * 100 > F.col("n_records") * common_percent).alias("is_common")
     )
+    return counts.join(known, "term_id").select("src", "term", "term_id", "n_occ", "n_rec", "n_records", "is_rare", "is_common")
 
 
 def marks(counts: DataFrame) -> DataFrame:
