@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wakloom.functions.phonology import classes, syllable_classes
-from wakloom.operators import meter, validator
+from wakloom.operators import evaluation, lexicon, meter, validator
+from wakloom.sources import files, sinks
 
 POEM = "array<struct<s:array<string>,k:array<string>>>"
 
@@ -106,3 +107,75 @@ def test_silent_ends(spark, word, final, weight):
 def test_compared(spark):
     df = spark.createDataFrame([(["สม", "บ้าน"], ["พาล"]), (["หมาย"], ["พอง"]), ([], ["กา"])], "a array<string>, b array<string>")
     assert [r.rhymes for r in validator.compared(df, "a", "b", classes).collect()] == [True, False, False]
+
+
+def test_screening(spark):
+    alike = lambda a, b: F.translate(a, "่้๊๋", "") == F.translate(b, "่้๊๋", "")
+    rows = [
+        ("น้ำตา", ["น้าม", "ตา"], ["น้ำ", "ตา"], ["sound mismatch @1 (น้ำ vs น้าม)"]), ("สองค่ำ", ["สอง", "คำม"], ["สอง", "ค่ำ"], ["tone lost 1→0", "redundant ำ+cons @2", "sound mismatch @2 (ค่ำ vs คำม)"]),
+        ("ก", ["กะ"], ["ก"], []), ("กลัว", ["กล", "หวัว"], ["กลัว"], ["syllable count differs (ssg 1 vs w2p 2)"]), ("กขค", ["ก", "ข"], ["ก", "ข", "ค"], ["1-char syllable @1 (ก)", "1-char syllable @2 (ข)", "ssg splits more than override (3 vs 2)"]),
+        ("ค้าขาย", ["ค่า", "ขาย"], ["ค้า", "ขาย"], ["tone changed @1 (ค้า vs ค่า)"]), ("กากา", ["กา", "กา"], [], []),
+    ]
+    df = spark.createDataFrame([r[:3] for r in rows], "w string, s array<string>, z array<string>")
+    got = [r.f for r in df.select(lexicon.screening_flags(F.col("w"), F.col("s"), F.col("z"), alike).alias("f")).collect()]
+    assert got == [r[3] for r in rows]
+    soft = df.where("w = 'กลัว'").select(lexicon.screening_flags(F.col("w"), F.array(F.lit("กะ"), F.lit("หวัว")), F.col("z"), alike, True).alias("f")).first()
+    assert soft.f == []
+    fixed = {r.w: (r.x.syllables, r.x.changed) for r in df.select("w", lexicon.fixed_finals(F.col("s"), F.col("z")).alias("x")).collect()}
+    assert fixed["น้ำตา"] == (["น้ำ", "ตา"], True) and fixed["กลัว"] == (["กล", "หวัว"], False) and fixed["ก"][1] is False
+    better = {r.w: r.x for r in df.select("w", lexicon.prefer_spelled(F.col("s"), F.col("z"), alike).alias("x")).collect()}
+    assert better["ค้าขาย"] == ["ค้า", "ขาย"] and better["น้ำตา"] is None and better["กากา"] is None
+
+
+def test_composed_by_rounds(spark):
+    known = spark.createDataFrame([("กา", ["กา"]), ("ดำ", ["ดำ"])], "word string, syllables array<string>")
+    words = spark.createDataFrame([("กาดำ", 5), ("กาดำกา", 9), ("ขาว", 2), ("กา", 1)], "word string, freq int")
+
+    def two(left, have):  # of two known words only, so that a round builds on the one before
+        a, b = have.select(F.col("word").alias("a"), F.col("syllables").alias("x")), have.select(F.col("word").alias("b"), F.col("syllables").alias("y"))
+        return left.join(a, F.startswith("word", "a")).join(b, F.concat("a", "b") == F.col("word")).select("word", F.concat("x", "y").alias("syllables")).dropDuplicates(["word"])
+
+    got = {r.word: (r.syllables, r.round) for r in lexicon.compose_by_rounds(words, known, two).collect()}
+    assert got == {"กาดำ": (["กา", "ดำ"], 0), "กาดำกา": (["กา", "ดำ", "กา"], 1)}
+    assert lexicon.compose_by_rounds(words.where("word = 'ขาว'"), known, two).count() == 0
+
+
+def test_normalisation_and_tags(spark):
+    df = syllable_classes(spark.createDataFrame([("กัย",), ("ธรรม",), ("กา",), ("ฤทธิ์",), ("ไทย",), ("ตัว",)], "w string"), "w")
+    got = {r.w: (r.n, r.t) for r in df.select("w", lexicon.normalisation(F.col("vowel"), F.col("final_class")).alias("n"), lexicon.phenomena(F.col("w"), F.col("vowel"), F.col("final_class"), F.col("rhyme")).alias("t")).collect()}
+    assert got == {"กัย": ("N1", ["sara_norm", "true_final"]), "ธรรม": ("N2", ["sara_norm"]), "กา": (None, []), "ฤทธิ์": (None, ["karun", "rue"]), "ไทย": (None, ["true_final"]), "ตัว": (None, ["true_final"])}
+
+
+def test_evaluation_tables(spark):
+    rows = [("a", True, True), ("a", True, None), ("a", False, True), ("b", False, False), ("b", True, False)]
+    df = spark.createDataFrame(rows, "op string, gold boolean, pred boolean")
+    assert {r.op: (r.n, r.fp, r.fn, r.recall) for r in evaluation.by_operator(df, ["op"]).collect()} == {"a": (3, 1, 1, 0.5), "b": (2, 0, 1, 0.0)}
+    counts = evaluation.summary(df, ["op"])
+    both = evaluation.merged_counts([counts, counts], ["op"]).where("op = 'a'").first()
+    assert (both.tp, both.fp, both.fn, both.dropped, both.precision) == (2, 2, 0, 2, 0.5)
+    said = spark.createDataFrame([(1, [validator.SOUND]), (2, ["Rhyme error in Stanza (บทที่) 1: 'h' (Wak 1) does not rhyme with ['a'] (Wak 2)"]), (3, [validator.INCOMPLETE]), (4, ["Inter-stanza rhyme error (ผิดสัมผัสระหว่างบท) between"])], "i int, m array<string>")
+    got = {r.i: r.r and tuple(r.r) for r in said.select("i", evaluation.rules_of_messages(F.col("m")).alias("r")).collect()}
+    assert got == {1: (True,) * 4, 2: (False, True, True, True), 3: None, 4: (True, True, True, False)}
+    assert evaluation.by_operator(df.where("op = 'x'"), ["op"]).count() == 0
+
+
+def test_readers_and_writers(spark, tmp_path):
+    (tmp_path / "ipa.txt").write_text("กา\tk aː\n\nวิชา  w i . tɕʰ aː \nlone\n", encoding="utf-8")
+    assert {r.word: r.syllables for r in files.sound_list(spark, str(tmp_path / "ipa.txt")).collect()} == {"กา": ["k aː"], "วิชา": ["w i", "tɕʰ aː"]}
+    (tmp_path / "i.json").write_text('[{"id": 1, "gold": true}, {"id": 2}]')
+    assert {(r.id, r.gold) for r in files.documents_json(spark, str(tmp_path / "i.json"), "id int, gold boolean").collect()} == {(1, True), (2, None)}
+    words = spark.createDataFrame([("ก า",), ("า ข",), (None,)], "w string")
+    assert {r.syllable for r in files.vocabulary([words, words], "w", lambda c: F.split(c, " ")).collect()} == {"ก", "า", "ข"}
+    rep = validator.report(poem(spark, *GOOD8), "p").withColumn("texts", F.transform("p", lambda x: F.array_join(x["s"], "")))
+    sinks.write_report(rep, str(tmp_path / "rep"), ["i"], 8)
+    back = spark.read.csv(str(tmp_path / "rep"), header=True).orderBy("line").collect()
+    assert [(r.line, r.wak_name, r.syllables, r.rhythm, r.status) for r in back][0] == ("1", "วรรคสดับ", "8", "3–2–3", "ผ่าน") and len(back) == 4
+
+
+def test_swap_that_was_broken_off(spark, tmp_path):
+    df = spark.createDataFrame([("ก", 1)], "wak string, n int")
+    path = str(tmp_path / "answers")
+    assert sinks.save_answers(df.limit(0), df, path, ["wak"]) == 1
+    (tmp_path / "answers").rename(tmp_path / "answers.old")  # as after a crash between the two renames
+    sinks.restore(spark, path)
+    assert spark.read.json(path).count() == 1 and not (tmp_path / "answers.old").exists()

@@ -18,19 +18,19 @@ from wakloom.operators.ranking import global_rank, with_neighbour
 ANCHOR, END = "๏", "ฯ"
 
 
-def chapter_lines(chapters: DataFrame, chapter: str, text: str, separators: str = "[\t\r\n]+") -> DataFrame:
+def chapter_lines(chapters: DataFrame, chapter: str, text: str, separators: str = "\\t\\r\\n") -> DataFrame:
     """chapter, pos (from 0), line, anchor of every line with a Thai consonant.
 
     Anchors and end marks are cut out of the line; an anchor on a cell of its
-    own belongs to the next line. Null and empty texts have no line.
+    own belongs to the next line. Null and empty texts have no line. A line is
+    found together with the cells without consonants before it, so places and
+    anchors are known within the row and nothing is shuffled. separators: the
+    characters that part cells, as in a character class.
     """
-    parts = chapters.select(F.col(chapter).alias("chapter"), F.posexplode(F.split(text, separators)).alias("cell", "raw"))
-    parts = parts.select("chapter", "cell", F.col("raw").contains(ANCHOR).alias("anchor"), strip(F.regexp_replace("raw", f"[{ANCHOR}{END}]", "")).alias("line"))
-    w = Window.partitionBy("chapter").orderBy("cell")
-    keep = F.col("line").rlike(CONSONANT)
-    # How many anchors stand up to here, and up to the kept line before.
-    seen = parts.withColumn("n", F.sum(F.col("anchor").cast("int")).over(w)).where(keep)
-    return seen.select("chapter", (F.row_number().over(w) - 1).alias("pos"), "line", (F.col("n") > F.coalesce(F.lag("n").over(w), F.lit(0))).alias("anchor"))
+    found = F.regexp_extract_all(F.col(text), F.lit(f"[^ก-ฮ]*[ก-ฮ][^{separators}]*"), F.lit(0))
+    parts = chapters.select(F.col(chapter).alias("chapter"), F.posexplode(found).alias("pos", "raw"))
+    cell = F.regexp_replace("raw", f"(?s)^.*[{separators}]", "")
+    return parts.select("chapter", "pos", strip(F.regexp_replace(cell, f"[{ANCHOR}{END}]", "")).alias("line"), F.col("raw").contains(ANCHOR).alias("anchor"))
 
 
 def sections(lines: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ file gives an empty table of the same schema.
 from __future__ import annotations
 
 import ast
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 
 from wakloom.functions.text import number_in, strip
 
+# Columns of the training, review and checkpoint files.
 BEATS = [f"w{i}_{c}" for i in range(1, 9) for c in "abc"]
 QUEUE = ["wak", "syllables", "flag", "guess", "a", "b", "c"]
 ENTRY = T.StructType([T.StructField("word", T.StringType()), T.StructField("syllables", T.ArrayType(T.StringType())), T.StructField("line_no", T.IntegerType())])
@@ -91,6 +93,29 @@ def pronunciations(spark: SparkSession, paths: str) -> DataFrame:
     return first.groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "n"))), lambda x: x["n"]).alias("counts"))
 
 
+def sound_list(spark: SparkSession, paths: str) -> DataFrame:
+    """word, ipa, syllables of lists with a word and its sounds, parted by a tab or blanks; blank and shorter lines left out.
+
+    A syllable ends at a full stop between blanks.
+    """
+    rows = spark.read.text(paths).select(strip("value").alias("v"))
+    word, ipa = F.regexp_extract("v", r"^(\S+)\s+(.*)$", 1), F.regexp_extract("v", r"^(\S+)\s+(.*)$", 2)
+    made = rows.select(word.alias("word"), ipa.alias("ipa")).where("word <> '' and ipa <> ''")
+    return made.withColumn("syllables", F.filter(F.transform(F.split("ipa", r"\s\.\s"), strip), lambda x: x != ""))
+
+
+def documents_json(spark: SparkSession, paths: str, schema: T.StructType | str) -> DataFrame:
+    """Instances, verdicts or metrics: JSON documents, a list of objects or one object a file; fields that are missing are null."""
+    return spark.read.schema(schema).json(paths, multiLine=True)
+
+
+def vocabulary(lists: list[DataFrame], column: str, cut) -> DataFrame:
+    """syllable: the distinct syllables of word lists, of all their words. cut: words to arrays of syllables."""
+    words = [x.select(F.col(column).alias("w")).where("w is not null") for x in lists]
+    all_ = reduce(lambda a, b: a.unionAll(b), words).distinct()
+    return all_.select(F.explode(cut(F.col("w"))).alias("syllable")).where("syllable <> ''").distinct()
+
+
 def dictionary_literal(spark: SparkSession, path: str) -> DataFrame:
     """word, syllables, line_no of every entry of a dictionary literal in a Python file.
 

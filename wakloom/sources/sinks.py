@@ -11,6 +11,10 @@ from wakloom.functions.text import work_of
 from wakloom.operators.dictionary import upsert
 
 
+# Names of the four lines of a stanza.
+WAK_NAMES = ("วรรคสดับ", "วรรครับ", "วรรครอง", "วรรคส่ง")
+
+
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
     """A folder of CSV parts, quotes doubled inside quotes."""
     df.write.mode("overwrite").csv(path, header=True, sep=sep, escape='"', quoteAll=False, emptyValue="")
@@ -22,13 +26,30 @@ def write_by_work(stanzas: DataFrame, path: str) -> None:
     out.select("work", "chapter", "w1", "w2", "w3", "w4").write.mode("overwrite").partitionBy("work", "chapter").csv(path, header=True, escape='"')
 
 
-def _move(spark: SparkSession, source: str, target: str) -> None:
-    jvm = spark._jvm.org.apache.hadoop.fs
-    fs = jvm.Path(target).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(jvm.Path(target)):
-        fs.delete(jvm.Path(target), True)
-    if not fs.rename(jvm.Path(source), jvm.Path(target)):
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    return hadoop, hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def restore(spark: SparkSession, path: str) -> None:
+    """Puts back the version set aside by a swap that was broken off."""
+    hadoop, fs = _file_system(spark, path)
+    if not fs.exists(hadoop(path)) and fs.exists(hadoop(f"{path}.old")):
+        fs.rename(hadoop(f"{path}.old"), hadoop(path))
+
+
+def _swap(spark: SparkSession, source: str, target: str) -> None:
+    """source in the place of target. The old version is deleted only when the new one stands; see restore."""
+    hadoop, fs = _file_system(spark, target)
+    old = hadoop(f"{target}.old")
+    if fs.exists(hadoop(target)):
+        fs.delete(old, True)
+        if not fs.rename(hadoop(target), old):
+            raise OSError(f"cannot set {target} aside")
+    if not fs.rename(hadoop(source), hadoop(target)):
+        restore(spark, target)
         raise OSError(f"cannot move {source} to {target}")
+    fs.delete(old, True)
 
 
 def save_answers(existing: DataFrame, answers: DataFrame, path: str, key: list[str]) -> int:
@@ -37,7 +58,7 @@ def save_answers(existing: DataFrame, answers: DataFrame, path: str, key: list[s
     if n:
         spark, new = answers.sparkSession, f"{path}.new-{uuid.uuid4().hex}"
         upsert(existing, answers, key).write.json(new)
-        _move(spark, new, path)
+        _swap(spark, new, path)
     return n
 
 
@@ -47,17 +68,36 @@ def literal_lines(entries: DataFrame) -> DataFrame:
     return entries.select("word", F.concat(F.lit('    "'), "word", F.lit('": '), quoted, F.lit(",")).alias("line"))
 
 
-def chunk_done(spark: SparkSession, path: str, chunk: int) -> bool:
-    """Whether a chunk's folder was written to its end."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/chunk={chunk}/_SUCCESS")
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def chunks_done(spark: SparkSession, path: str) -> set[int]:
+    """The numbers of the chunks that are written. A job's chunks appear when it commits."""
+    hadoop, fs = _file_system(spark, path)
+    found = fs.listStatus(hadoop(path)) if fs.exists(hadoop(path)) else []
+    return {int(f.getPath().getName()[6:]) for f in found if f.isDirectory() and f.getPath().getName().startswith("chunk=")}
 
 
 def write_chunks(df: DataFrame, path: str, chunk: str, n: int) -> list[int]:
-    """Chunks 0..n-1, each a folder; those already written are left. The numbers written now."""
-    done = []
-    for k in range(n):
-        if not chunk_done(df.sparkSession, path, k):
-            df.where(F.col(chunk) == k).drop(chunk).write.mode("overwrite").parquet(f"{path}/chunk={k}")
-            done.append(k)
-    return done
+    """Chunks 0..n-1, each a folder chunk=k, those already written left as they are: one pass, one write. The numbers written now."""
+    todo = sorted(set(range(n)) - chunks_done(df.sparkSession, path))
+    if todo:
+        rows = df.withColumnRenamed(chunk, "chunk").where(F.col("chunk").isin(todo))
+        rows.repartition("chunk").write.mode("append").partitionBy("chunk").parquet(path)
+    return todo
+
+
+def write_report(reports: DataFrame, path: str, key: list[str], kind: int, lines: str = "line_reports", texts: str = "texts") -> None:
+    """One row a line of a report: key, klon_type, line, wak_name, text, syllables, rhythm, status."""
+    names = F.array(*[F.lit(x) for x in WAK_NAMES])
+    each = reports.select(*key, F.posexplode(F.arrays_zip(F.col(lines).alias("r"), F.col(texts).alias("t"))).alias("at", "x"))
+    rhythm = F.coalesce(F.when(F.col("x.r.rhythm").isNotNull(), F.array_join(F.transform("x.r.rhythm", lambda b: b.cast("string")), "–")), F.lit("—"))
+    out = each.select(*key, F.lit(kind).alias("klon_type"), (F.col("at") + 1).alias("line"), F.get(names, F.col("at") % 4).alias("wak_name"), F.col("x.t").alias("text"), F.col("x.r.n_syllables").alias("syllables"), rhythm.alias("rhythm"), F.col("x.r.status").alias("status"))
+    write_csv(out, path)
+
+
+def write_screen(entries: DataFrame, path: str) -> None:
+    """word, freq, syllables, flags, bucket, context, parted by tabs."""
+    write_csv(entries.select("word", "freq", F.array_join("syllables", "-").alias("syllables"), F.array_join("flags", "; ").alias("flags"), "bucket", "context"), path, sep="\t")
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """One object a line; nulls left out."""
+    df.write.mode("overwrite").json(path)

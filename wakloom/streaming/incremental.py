@@ -32,13 +32,19 @@ def changed_rows(now: DataFrame, before: DataFrame, columns: list[str]) -> DataF
 
 
 def keep_latest(spark: SparkSession, source: str, schema: T.StructType | str, key: list[str], order: str, target: str, state: str) -> None:
-    """A table with the latest row of each key, kept up with new files of source; ties go to either row."""
+    """A table with the latest row of each key, kept up with new files of source; ties go to either row.
+
+    A batch writes a new version from the one before; versions older than that
+    are deleted, the one before stays for a batch that must be done again.
+    """
     def merge(batch: DataFrame, n: int) -> None:
         both = batch
         if n:
             both = batch.unionByName(spark.read.parquet(f"{target}/v={n - 1}"))
         rest = [c for c in batch.columns if c not in key]
         both.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_r")).select(*key, "_r.*").write.mode("overwrite").parquet(f"{target}/v={n}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/v={n - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     stream = spark.readStream.schema(schema).parquet(source)
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
