@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wakloom.functions.phonology import classes, syllable_classes
-from wakloom.operators import evaluation, lexicon, meter, validator
+from wakloom.operators import evaluation, lexicon, meter, structure, validator
 from wakloom.sources import files, sinks
 
 POEM = "array<struct<s:array<string>,k:array<string>>>"
@@ -179,3 +179,9 @@ def test_swap_that_was_broken_off(spark, tmp_path):
     (tmp_path / "answers").rename(tmp_path / "answers.old")  # as after a crash between the two renames
     sinks.restore(spark, path)
     assert spark.read.json(path).count() == 1 and not (tmp_path / "answers.old").exists()
+
+
+def test_windows_of_three(spark):
+    df = spark.createDataFrame([("a", i, i != 3) for i in range(8)] + [("b", i, True) for i in range(3)], "c string, r int, ok boolean")
+    got = {(x.c, x.r, tuple(v.r for v in x.v)) for x in structure.sound_windows(df, ["c"], ["r"], F.col("ok"), ["r"], 3).collect()}
+    assert got == {("a", 0, (0, 1, 2)), ("a", 4, (4, 5, 6)), ("a", 5, (5, 6, 7)), ("b", 0, (0, 1, 2))}

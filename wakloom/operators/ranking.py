@@ -50,7 +50,7 @@ def with_neighbour(ranked: DataFrame, rank: str, key: list[str], values: dict[st
     """ranked with values (name: column) of the row `step` places on in rank, null where that is of another group.
 
     A lag or lead as a join on places: even, whatever the sizes of the groups.
-    rank must be dense and unique, as global_rank makes it.
+    rank must be unique, as global_rank makes it; a place no row has gives null.
     """
     there = ranked.select((F.col(rank) - step).alias(rank), *[F.col(k).alias(f"_{k}") for k in key], *[F.col(c).alias(f"_v_{n}") for n, c in values.items()], F.lit(True).alias("_there"))
     same = F.coalesce(F.col("_there"), F.lit(False))

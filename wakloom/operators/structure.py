@@ -82,16 +82,15 @@ def sound_windows(stanzas: DataFrame, key: list[str], order: list[str], sound: C
 
     key, order and v: an array of width structs of values. Places over the
     whole table take the part of windows over key, so that one group may hold
-    any part of the rows: in a run, the place among all rows and the place
-    among sound rows move together. The order must be total within a key.
+    any part of the rows: the row at the next place is the next of the run if
+    it is sound and of the same key. The order must be total within a key.
     """
     whole = global_rank(stanzas.select(*key, *order, F.struct(*values).alias("_v0"), sound.alias("_ok")), [*key, *order], "_g")
-    runs = global_rank(whole.where("_ok"), ["_g"], "_s").withColumn("_run", F.col("_g") - F.col("_s"))
+    runs = whole.where("_ok")
     for i in range(1, width):
-        runs = with_neighbour(runs, "_s", [*key, "_run"], {f"_v{i}": "_v0"}, i)
-        runs = runs.withColumn("_whole", F.col(f"_v{i}").isNotNull() & (F.col("_whole") if i > 1 else F.lit(True)))
-    out = runs.where("_whole") if width > 1 else runs
-    return out.select(*key, *order, F.array(*[f"_v{i}" for i in range(width)]).alias("v"))
+        runs = with_neighbour(runs, "_g", key, {f"_v{i}": "_v0"}, i)
+    full = runs.where(" and ".join(f"_v{i} is not null" for i in range(width)))
+    return full.select(*key, *order, F.array(*[f"_v{i}" for i in range(width)]).alias("v"))
 
 
 def with_previous(stanzas: DataFrame, key: list[str], order: list[str], column: str, name: str) -> DataFrame:

@@ -112,7 +112,7 @@ def pho_tones(spark, sf_dir):
 def pho_rhyme_classes(spark, sf_dir):
     s = table(spark, sf_dir, "override_entry").select("entry_id", F.explode("syllables").alias("syllable")).where("syllable <> ''")
     known = once_per_value(s, "syllable", syllable_classes)
-    return known.groupBy("rhyme", "vowel", "final_class", "weight").agg(F.count("*").alias("n_syllables"), F.countDistinct("_syllable_value").alias("n_distinct") if "_syllable_value" in known.columns else F.countDistinct("syllable").alias("n_distinct"))
+    return known.groupBy("rhyme", "vowel", "final_class", "weight").agg(F.count("*").alias("n_syllables"), F.countDistinct("syllable").alias("n_distinct"))
 
 
 _KEY = "\x01"  # stands before a rhyme key among parts of a line that are not in the dictionary
@@ -318,11 +318,11 @@ def fun_arrays(spark, sf_dir):
     return table(spark, sf_dir, "override_entry").where("size(syllables) > 0").select("entry_id", F.size(s).alias("n"), F.array_join(s, "-").alias("joined"), F.try_element_at(s, F.lit(1)).alias("head"), rhymes.last(s).alias("tail"), F.array_contains(s, "วั่น").alias("has"), F.array_join(F.array_sort(s), "|").alias("sorted"), F.array_join(F.slice(s, 2, 3), "|").alias("middle"), F.size(F.array_distinct(s)).alias("n_distinct"), n_points.alias("n_points"))
 
 
-@query("""WITH w AS (SELECT DISTINCT word FROM override_entry WHERE word IS NOT NULL) SELECT word, regexp_matches(word, '[ก-ฮ][รล]') AS cluster, regexp_matches(word, 'ำ[ก-ฮ]$|[ก-ฮ][ใไ]ย$|เ[ก-ฮ]าว$') AS double_final FROM w""")
+@query("""WITH w AS (SELECT DISTINCT word FROM override_entry WHERE word IS NOT NULL) SELECT word, regexp_matches(word, '[ก-ฮ][รล]') AS cluster, regexp_matches(word, '[ฤฦ]') AS rare_vowel, regexp_matches(word, '[ก-ฮ][่-๋]?์$') AS silent_end, regexp_matches(word, 'ำ[ก-ฮ]$|[ก-ฮ][ใไ]ย$|เ[ก-ฮ]าว$') AS double_final FROM w""")
 def fun_spelling_flags(spark, sf_dir):
     w = table(spark, sf_dir, "override_entry").select("word").where("word is not null").distinct()
     flags = X.spelling_flags("word")
-    return w.select("word", F.array_contains(flags, "cluster").alias("cluster"), F.array_contains(flags, "double_final").alias("double_final"))
+    return w.select("word", *[F.array_contains(flags, f).alias(f) for f in ("cluster", "rare_vowel", "silent_end", "double_final")])
 
 
 @query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract(props, '$.k') IS NOT NULL AS has_k, round(value * 100 / 7, 4) AS scaled FROM events""")
@@ -368,7 +368,7 @@ def aug_candidates(spark, sf_dir):
 @query()
 def udf_longest_match(spark, sf_dir):
     """Lines of the review queue cut to the syllables of the dictionary."""
-    known = segment.dictionary_of(table(spark, sf_dir, "override_entry").where("size(syllables) = 1"))
+    known = segment.dictionary_of(table(spark, sf_dir, "override_entry"))
     q = table(spark, sf_dir, "review_queue").select("queue_id", "wak")
     return segment.segmented(q, "wak", known).select("queue_id", "wak", F.size("parts").alias("n_parts"), F.array_join("parts", "-").alias("parts"))
 
