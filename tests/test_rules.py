@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from wakloom.functions import respell
 from wakloom.functions.phonology import classes, syllable_classes
 from wakloom.operators import evaluation, lexicon, meter, structure, validator
 from wakloom.sources import files, sinks
@@ -185,3 +186,19 @@ def test_windows_of_three(spark):
     df = spark.createDataFrame([("a", i, i != 3) for i in range(8)] + [("b", i, True) for i in range(3)], "c string, r int, ok boolean")
     got = {(x.c, x.r, tuple(v.r for v in x.v)) for x in structure.sound_windows(df, ["c"], ["r"], F.col("ok"), ["r"], 3).collect()}
     assert got == {("a", 0, (0, 1, 2)), ("a", 4, (4, 5, 6)), ("a", 5, (5, 6, 7)), ("b", 0, (0, 1, 2))}
+
+
+@pytest.mark.parametrize(
+    "ipa, thai",
+    [("k aː ˧", "กา"), ("kʰ aː w ˥˩", "ขา้ว"), ("m a j ˥˩", "ไม่"), ("r a k ˦˥", "รัก"), ("l aː ŋ ˨˩", "หลา่ง"), ("s a m ˩˩˦", "สำ"), ("ŋ aː ˩˩˦", "หงา"), ("p l aː ˧", "ปลา"), ("ʔ ɔː k ˨˩", "ออก"), ("tɕ a j ˧", "ไจ"), ("n aː m ˦˥", "นา้ม"), ("tʰ a ʔ ˦˥", "ทะ")],
+)
+def test_respelled(ipa, thai):
+    assert respell.respelled(ipa) == thai
+
+
+def test_respelled_columns(spark):
+    df = spark.createDataFrame([(["k aː ˧", "r a k ˦˥"],), (None,), ([],)], "s array<string>")
+    assert [r.t for r in df.select(respell.thai_of(F.col("s")).alias("t")).collect()] == [["กา", "รัก"], None, []]
+    said = syllable_classes(spark.createDataFrame([("จาก",), ("ได้",), ("ไป",), ("จะ",), ("ไม่",)], "w string"), "w")
+    got = {r.w: r.t for r in said.select("w", respell.tone_name(F.col("w"), respell.is_dead(F.col("vowel"), F.col("final_class"))).alias("t")).collect()}
+    assert got == {"จาก": "eak or dead", "ได้": "tou", "ไป": None, "จะ": "eak or dead", "ไม่": "eak or dead"}
