@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakloom.llm.canon import look_alike
+from wakloom.session import settle
 
 
 def written_variants(df: DataFrame, id_col: str, text_col: str, src: str) -> DataFrame:
@@ -21,7 +22,8 @@ def written_variants(df: DataFrame, id_col: str, text_col: str, src: str) -> Dat
     characters only look the same as each other.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text <> ''")
-    texts = rows.groupBy("text").agg(F.min("id").alias("id")).withColumn("look", look_alike("text"))
+    # Folded once: the table of distinct texts is read for the first of each look and for the others.
+    texts = settle(rows.groupBy("text").agg(F.min("id").alias("id")).withColumn("look", look_alike("text")), "looks")
     first = texts.groupBy("look").agg(F.min("id").alias("first_id"), F.min_by("text", "id").alias("first_text"), F.count("*").alias("n")).where("n > 1")
     other = texts.join(first, "look").where("text <> first_text").select("text", "first_id")
     return rows.join(other, "text").select(F.lit(src).alias("src"), "first_id", F.col("id").alias("other_id"))
