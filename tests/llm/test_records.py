@@ -221,7 +221,7 @@ def test_allocation():
     assert flow.allocate([], {"a": 1.0}) == []
 
 
-def test_leaks(spark):
+def test_leaks(spark, monkeypatch):
     random.seed(9)
     word = lambda n: "".join(random.choices("กขคงจabcdefgh", k=n))
     text = word(120)
@@ -235,6 +235,9 @@ def test_leaks(spark):
     assert {(1, 12), (1, 16), (1, 15), (5, 15)} <= near and not {p for p in near if p[1] in (13, 14, 17)}
     assert leaks.leaks(i.where("item_id < 0"), d).count() == 0
     assert {r.doc_id: r.items for r in leaks.leaked_documents(i, d).collect()}[10] == [1, 5]
+    monkeypatch.setattr(leaks, "BLOCK_POINTS", 60)  # several blocks give what one gives
+    monkeypatch.setattr(leaks, "HELD_POINTS", 100)
+    assert sorted(tuple(r) for r in leaks.leaks(i, d).collect()) == [(1, 10), (1, 11), (1, 18), (5, 10), (5, 18)]
 
 
 def test_toxic(spark):

@@ -9,8 +9,9 @@ come from a hash index; each is verified by Myers' bit-parallel distance of the
 windows around the piece to the text around the hit.
 
 The items are the query set. They are walked in blocks of bounded size, whose
-index is broadcast; the corpus is read once for each block and never shuffled,
-and only (item, document) pairs leave a task.
+index is broadcast. The corpus is read and put into its one form once and never
+shuffled: a task holds HELD_POINTS code points of it at a time against one block
+after another, and only (item, document) pairs leave it.
 
 Defined results: null and short texts (fewer than run characters that count)
 leak nothing. Items and documents repeated under other ids count each.
@@ -32,7 +33,7 @@ from wakloom.llm.edits import Patterns, distances
 from wakloom.llm.grams import Index, rolling
 
 RUN = 40
-BLOCK_POINTS = 6_000_000
+BLOCK_POINTS, HELD_POINTS = 6_000_000, 8_000_000
 
 
 class Inked:
@@ -138,7 +139,7 @@ class Items:
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple]:
-    size = items.agg(F.sum(F.length(text_col))).first()[0] or 0
+    size = items.agg(F.sum(F.coalesce(F.length(text_col), F.lit(0)) + 20)).first()[0] or 0  # rows without text count too
     n = 1 + size // BLOCK_POINTS
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64(id_col), F.lit(n)) == k)
@@ -149,24 +150,34 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple]:
 
 def leaks(items: DataFrame, docs: DataFrame, item_id: str = "item_id", doc_id: str = "doc_id", text: str = "text", run: int = RUN, budget: int = 0) -> DataFrame:
     """item_id, doc_id of every document in which a window of an item stands (see the module)."""
-    spark, out = docs.sparkSession, None
-    for ids, cps, off in _blocks(items, item_id, text):
-        sent = spark.sparkContext.broadcast(Items(ids, cps, off, run, budget))
-
-        def probe(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                at = 0
-                for part in pieces_of(b.column(1), 1 << 20):
-                    item, doc = sent.value.find(*letters_only(part))
-                    yield pa.RecordBatch.from_arrays([pa.array(sent.value.ids[item], pa.int64()), b.column(0).take(pa.array(doc + at))], names=[item_id, doc_id])
-                    at += len(part)
-
-        schema = T.StructType([T.StructField(item_id, T.LongType()), docs.schema[doc_id]])
-        pairs = docs.select(doc_id, text).mapInArrow(probe, schema)
-        out = pairs if out is None else out.unionAll(pairs)
-    if out is None:
-        return spark.createDataFrame([], T.StructType([T.StructField(item_id, T.LongType()), docs.schema[doc_id]]))
-    return out
+    spark = docs.sparkSession
+    sent = [spark.sparkContext.broadcast(Items(*block, run, budget)) for block in _blocks(items, item_id, text)]
+    schema = T.StructType([T.StructField(item_id, T.LongType()), docs.schema[doc_id]])
+
+    def matched(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for one in sent:
+            index = one.value
+            if len(sent) > 1:
+                one.__dict__.pop("_value", None)  # a worker keeps one block only
+            for ids, cps, off in held:
+                item, doc = index.find(cps, off)
+                yield pa.RecordBatch.from_arrays([pa.array(index.ids[item], pa.int64()), ids.take(pa.array(doc))], names=[item_id, doc_id])
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            at = 0
+            for part in pieces_of(b.column(1), 1 << 20):
+                held.append((b.column(0).slice(at, len(part)), *letters_only(part)))
+                at += len(part)
+                size += len(held[-1][1]) + len(part)
+                if len(sent) == 1 or size > HELD_POINTS:
+                    yield from matched(held)
+                    held, size = [], 0
+        if held:
+            yield from matched(held)
+
+    return docs.select(doc_id, text).mapInArrow(probe, schema)
 
 
 def leaked_documents(items: DataFrame, docs: DataFrame, budget: int = 0) -> DataFrame:
