@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from wakloom.functions import respell
 from wakloom.functions.phonology import classes, syllable_classes
-from wakloom.operators import evaluation, lexicon, meter, structure, validator
+from wakloom.operators import evaluation, lexicon, meter, segment, structure, validator
 from wakloom.sources import files, sinks
 
 POEM = "array<struct<s:array<string>,k:array<string>>>"
@@ -202,3 +202,14 @@ def test_respelled_columns(spark):
     said = syllable_classes(spark.createDataFrame([("จาก",), ("ได้",), ("ไป",), ("จะ",), ("ไม่",)], "w string"), "w")
     got = {r.w: r.t for r in said.select("w", respell.tone_name(F.col("w"), respell.is_dead(F.col("vowel"), F.col("final_class"))).alias("t")).collect()}
     assert got == {"จาก": "eak or dead", "ได้": "tou", "ไป": None, "จะ": "eak or dead", "ไม่": "eak or dead"}
+
+
+def test_overrides_in_tokens():
+    known = {"สระ": ["สะ", "หระ"], "กาดำ": ["กา", "ดำ"], "ขาว": ["ขาว"]}
+    split = lambda w: w.split(".")
+    cut = lambda text, say=None: segment.with_overrides(known, lambda t: t.split("|"), split, say)(text)
+    assert cut("ส|ระ") == [("สะ", "override"), ("หระ", "override")]  # joined tokens
+    assert cut("กาด|ำมา") == [("กา", "override"), ("ดำ", "override"), ("มา", "spoken")]  # a letter of the next token
+    assert cut("ขาว.งา") == [("ขาว", "override"), ("งา", "spoken")] and cut("มา.งา") == [("มา", "spoken"), ("งา", "spoken")]
+    said = segment.spoken_by(lambda w: {"เสนา": "เส.-ห.-นา", "ห": "ห"}.get(w), split)
+    assert cut("เสนา", said) == [("เส", "spoken"), ("นา", "spoken")] and said("ห") == ["ห"] and said("งา.งา") == ["งา", "งา"]

@@ -7,7 +7,9 @@ as a broadcast; larger ones than MOST_ENTRIES are refused rather than sent.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -86,6 +88,75 @@ def composed(known: dict[str, list[str]]) -> Segmenter:
     return lambda text: make(text) or cut(text)
 
 
+MERGED, LENT = 6, 3  # tokens joined to a known word at most, letters a token takes from the next at most
+
+
+def spoken_by(pronounce: Callable[[str], str | None], split: Segmenter) -> Segmenter:
+    """Syllables of a word as a pronouncer spells it. Words up to two letters, and those it has nothing for, are split as written."""
+
+    def cut(word: str) -> list[str]:
+        said = pronounce(word) if len(word) > 2 else None
+        if not said:
+            return split(word)
+        return [s for s in split(said.replace("ฺ", "").replace("-", "")) if s != "ห" or word == "ห"]
+
+    return cut
+
+
+def with_overrides(known: dict[str, list[str]], tokens: Segmenter, split: Segmenter, spoken: Segmenter | None = None) -> Callable[[str], list[tuple[str, str]]]:
+    """(syllable, source) of a text's tokens; source is override or spoken.
+
+    In turn: the longest run of up to MERGED tokens that makes a known word; a
+    token that does with up to LENT letters of the next, which keeps its rest; a
+    token of several syllables of which one is known, syllable by syllable; else
+    the token as spoken (without a pronouncer as split).
+    """
+    say = spoken or split
+
+    def cut(text: str) -> list[tuple[str, str]]:
+        rest, out = deque(tokens(text)), []
+
+        def put(parts: list[str], source: str) -> None:
+            out.extend((p, source) for p in parts)
+
+        while rest:
+            joined = list(accumulate(islice(rest, MERGED)))
+            n = max((i + 1 for i, w in enumerate(joined) if w in known), default=0)
+            if n:
+                put(known[joined[n - 1]], "override")
+                for _ in range(n):
+                    rest.popleft()
+                continue
+            head = rest.popleft()
+            lent = next((k for k in range(1, LENT + 1) if rest and k <= len(rest[0]) and head + rest[0][:k] in known), 0)
+            if lent:
+                after = rest.popleft()
+                put(known[head + after[:lent]], "override")
+                if after[lent:]:
+                    rest.appendleft(after[lent:])
+                continue
+            parts = split(head)
+            for p in parts if len(parts) > 1 and any(p in known for p in parts) else [head]:
+                put(*((known[p], "override") if p in known else (say(p), "spoken")))
+        return out
+
+    return cut
+
+
+def sourced_parts(spark: SparkSession, known: dict[str, list[str]], how: Callable[[dict[str, list[str]]], Callable[[str], list[tuple[str, str]]]]) -> Callable[[Column], Column]:
+    """As parts_of, for segmenters that tell the source: an array of struct(syllable, source)."""
+    sent = spark.sparkContext.broadcast(known)
+    kind = pa.list_(pa.struct([("syllable", pa.string()), ("source", pa.string())]))
+
+    @F.arrow_udf("array<struct<syllable:string,source:string>>")
+    def parts(col: pa.Array) -> pa.Array:
+        cut, coded = how(sent.value), col.dictionary_encode()
+        values = pa.array([[{"syllable": a, "source": b} for a, b in cut(x)] for x in coded.dictionary.to_pylist()], kind)
+        return values.take(coded.indices)
+
+    return parts
+
+
 def parts_of(spark: SparkSession, known: dict[str, list[str]], how: Callable[[dict[str, list[str]]], Segmenter] = longest_match) -> Callable[[Column], Column]:
     """A function from a text column to an array of its parts; each distinct text of a batch is cut once."""
     sent = spark.sparkContext.broadcast(known)

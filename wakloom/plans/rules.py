@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wakloom.functions import text as X
 from wakloom.functions.phonology import syllable_classes
-from wakloom.operators import evaluation, lexicon, meter, structure, validator
+from wakloom.operators import evaluation, lexicon, meter, segment, structure, validator
 from wakloom.plans.verse import LINES_SQL, lines_of
 from wakloom.session import table
 
@@ -300,6 +300,17 @@ def fun_escapes(spark, sf_dir):
     return table(spark, sf_dir, "review_queue").select("queue_id", X.html_escaped("flag").alias("escaped"), F.left(w, F.lit(10)).alias("preview"), X.find_from(w, "ก", 3).alias("next_k"), F.size(X.lines_of_editor(F.replace(F.coalesce("guess", F.lit("")), F.lit(" "), F.lit("\n")))).alias("n_typed"), F.bround(F.col("syllables") * 10 / 4).cast("int").alias("half"))
 
 
+@query()
+def agg_syllable_sources(spark, sf_dir):
+    """Lines of the review queue: words of the first dictionary override, the rest is cut by the syllables of all."""
+    entries = table(spark, sf_dir, "override_entry").where("size(syllables) > 0")
+    known = segment.dictionary_of(entries.where("dict_name = 'poetry_overrides'"))
+    all_ = segment.dictionary_of(entries.select(F.explode("syllables").alias("word")).where("word <> ''").select("word", F.array("word").alias("syllables")))
+    parts = segment.sourced_parts(spark, known, lambda k: segment.with_overrides(k, segment.longest_match(all_), segment.longest_match(all_)))
+    q = table(spark, sf_dir, "review_queue").where("wak <> ''").select("chapter", F.explode(parts(F.col("wak"))).alias("p"))
+    return q.groupBy("chapter", "p.source").agg(F.count("*").alias("n_syllables"))
+
+
 def rhymes_by_class(a: Column, b: Column) -> Column:
     """Whether two syllables have one rhyme key."""
     from wakloom.functions.phonology import classes
