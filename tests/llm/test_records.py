@@ -1,6 +1,7 @@
 import collections
 import datetime as dt
 import itertools
+import os
 import random
 
 import numpy as np
@@ -294,3 +295,21 @@ def test_spelling_row_by_row():
     texts = ["".join(random.choices("ab1!3 $ก.", k=random.randint(0, 7))) for _ in range(2000)]
     raw, off = toxic.spelled(pa.array(texts))
     assert [raw[a:b].tolist() for a, b in zip(off, off[1:], strict=False)] == [toxic.spelled(pa.array([t]))[0].tolist() for t in texts]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_splits_of_the_table(spark):
+    """Every row has a split, linked chapters share one, shares are off by no more than the largest component."""
+    stanza = spark.read.parquet("/root/testdata/sf0.001/stanza.parquet")
+    split = {r.stanza_id: r.split for r in splits.split_rows(stanza).collect()}
+    rows = stanza.select("stanza_id", "chapter").collect()
+    assert set(split) == {r.stanza_id for r in rows} and len(rows) == len(split)
+    root = {r.chapter: r.root for r in splits.chapter_groups(stanza).collect()}
+    size, where = collections.Counter(), collections.defaultdict(set)
+    for r in rows:
+        group = root.get(r.chapter, r.chapter)
+        size[group] += 1
+        where[group].add(split[r.stanza_id])
+    assert all(len(w) == 1 for w in where.values())
+    have = collections.Counter(split.values())
+    assert all(abs(have[s] - len(rows) * q) <= max(size.values()) for s, q in splits.SPLITS.items())
