@@ -7,6 +7,7 @@ from tests.compare import connect, differences
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 FULL = "/root/testdata/sf0.01"
+SCARCE = {"p10_found"}  # with three toxic labels, as at the smallest scale, no passage can be told
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
@@ -22,7 +23,7 @@ def test_like_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
 def test_runs(spark, name):
-    df = entry.queries()[name](spark, SF)
+    df = entry.queries()[name](spark, FULL if name in SCARCE else SF)
     assert len(df.collect()) > 0 and len(set(df.columns)) == len(df.columns)
 
 
