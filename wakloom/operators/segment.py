@@ -22,11 +22,16 @@ MOST_ENTRIES = 2_000_000
 Segmenter = Callable[[str], list[str]]
 
 
+def refuse_larger(entries: DataFrame) -> None:
+    """Only so many entries as every worker can hold."""
+    if entries.count() > MOST_ENTRIES:
+        raise ValueError(f"more than {MOST_ENTRIES} entries")
+
+
 def dictionary_of(entries: DataFrame, word: str = "word", syllables: str = "syllables") -> dict[str, list[str]]:
     """A small dictionary on the driver; of a repeated word the entry of the least syllable text."""
     one = entries.where(F.col(word).isNotNull() & (F.size(syllables) > 0)).groupBy(word).agg(F.min(syllables).alias(syllables))
-    if one.limit(MOST_ENTRIES + 1).count() > MOST_ENTRIES:
-        raise ValueError(f"more than {MOST_ENTRIES} entries")
+    refuse_larger(one)
     t = one.toArrow()
     return dict(zip(t.column(word).to_pylist(), t.column(syllables).to_pylist(), strict=True))
 

@@ -121,7 +121,9 @@ _KEY = "\x01"  # stands before a rhyme key among parts of a line that are not in
 def syllable_keys(entries: DataFrame) -> dict[str, list[str]]:
     """Marked rhyme keys of all syllables of the entries, and of the words spelled otherwise than their syllables."""
     s = entries.select(F.explode("syllables").alias("word")).where("word <> ''").distinct()
-    own = segment.dictionary_of(s.select("word", F.array(F.concat(F.lit(_KEY), classes(F.col("word"))["rhyme"])).alias("syllables")))
+    segment.refuse_larger(s)
+    t = s.select("word", classes(F.col("word"))["rhyme"].alias("k")).toArrow()  # classes once a syllable
+    own = {w: [_KEY + k] for w, k in zip(t.column("word").to_pylist(), t.column("k").to_pylist(), strict=True)}
     odd = segment.dictionary_of(entries.where("word <> '' and array_join(syllables, '') <> word"))
     return {w: [k for x in parts if x for k in own[x]] for w, parts in odd.items() if any(parts)} | own
 
