@@ -167,6 +167,24 @@ def test_blocks_and_hot_texts(spark, monkeypatch):
     assert len(rows) == len(set(rows)) and set(rows) == want and (1, 99) in want
 
 
+def test_copies_are_compared_once(spark, monkeypatch):
+    random.seed(9)
+    line = lambda: "".join(random.choices("กขคงจฉชซดตถทน", k=30))
+    base = [[line() for _ in range(4)] for _ in range(6)]
+    query = [(10 * k + i, *([x + " " for x in b] if k % 2 else b)) for i, b in enumerate(base) for k in range(9)] + [(98, None, "", None, " "), (99, *base[5][:3], None)]
+    pool = [(100 * k + i, *(mutate(x, 5) for x in b)) for i, b in enumerate(base[:3]) for k in (1,)] + [(100 * k + i, *b) for i, b in enumerate(base) for k in range(2, 13)]
+    q, p = spark.createDataFrame(query, f"eval_id long, {LINES}").repartition(3), spark.createDataFrame(pool, f"stanza_id long, {LINES}").repartition(3)
+    monkeypatch.setattr(overlap, "BLOCK_POINTS", 1200)
+    assert overlap.folded(q, "eval_id").count() == 7 and len(list(overlap._blocks(q, "eval_id"))) == 1  # copies make no more blocks
+    monkeypatch.setattr(overlap, "_MOST_IDS", 4)  # copies in several rows, and those in several blocks
+    assert overlap.folded(q, "eval_id").selectExpr("size(ids) n").groupBy().agg(F.max("n"), F.sum("n")).first() == (4, 55) and len(list(overlap._blocks(q, "eval_id"))) > 1
+    want = {(a[0], b[0]) for a in query for b in pool if close([(x or "").strip() for x in a[1:]], b[1:])}
+    rows = [tuple(r) for r in overlap.overlaps(q, p).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want and len(want) > 600
+    ids = overlap.Ids(pa.array([["a", "b"], [], ["c"] * 5]))
+    assert [[x.to_pylist() for x in part] for part in ids.pairs(np.array([0, 2, 1]), ids, np.array([0, 0, 2]), 3)][:2] == [[["a", "a", "b"], ["a", "b", "a"]], [["b", "c", "c"], ["b", "a", "b"]]]
+
+
 def test_components(spark):
     e = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(30)] + [("x", "y"), ("y", "x"), ("z", "z"), ("hub", "n05"), (None, "q")], "u string, v string")
     want = {(f"n{i:02d}", "hub") for i in range(31)} | {("hub", "hub"), ("x", "x"), ("y", "x"), ("z", "z")}
